@@ -9,8 +9,9 @@ strings of `length` bytes always meet:
 
 1. Anchors: places whose hash of K bytes is the least of a run of W = length - K + 1 such hashes. Any string of
    `length` bytes holds an anchor, and equal strings hold it at the same place. Anchors with a hash of their own are out.
-2. An anchor's context is what strings around it can reach. Where all contexts of a hash are equal, all their strings
-   repeat. So do those of any context that occurs twice.
+   A string belongs to the leftmost of its anchors, so each is counted at one place.
+2. An anchor's context is the bytes of the strings that belong to it. Where all contexts of a hash are equal, all their
+   strings repeat. So do those of any context that occurs twice.
 3. Other contexts are split in two sides: a string has at least half of its remaining bytes before or after the
    anchor. Sides that share the anchor and that half form a group. A group of up to GROUP different sides gets its
    suffix array; neighbours in it that agree in `length` bytes repeat.
@@ -140,8 +141,12 @@ def spans(starts: list[int], length: int) -> list[int]:
     return out
 
 
-def anchors_of(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, hashes of contexts)."""
+def anchors_of(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(place, first byte and end of the strings it owns, hash, hash of those bytes) of each anchor.
+
+    A string belongs to the leftmost of its least places, so every string of a text belongs to one anchor, and equal
+    strings to anchors at the same distance.
+    """
     w = length - k + 1
     p = Prefix(data)
     h = p.rolling(k)
@@ -149,29 +154,43 @@ def anchors_of(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray
     # a place is an anchor if it is the least of some run that holds it: of the runs' minima around it the largest is its own
     zero = np.zeros(w - 1, dtype=np.uint64)
     at = np.flatnonzero(window_extreme(np.concatenate((zero, least, zero)), w, np.maximum) == h)
-    lo, hi = np.maximum(at - (w - 1), 0), np.minimum(at + length, p.n)
-    ctx = mixed(p.of(lo, hi) + (at - lo).astype(np.uint64))
-    return at, h[at], ctx
+    # stretches of runs with one minimum; that of an anchor is the one with its hash among those that reach it
+    first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    end = np.concatenate((first[1:], [len(least)])) - 1
+    lo, hi = np.maximum(at - (w - 1), 0), np.minimum(at, len(least) - 1)
+    own = np.searchsorted(first, lo, "right") - 1
+    while (off := least[first[own]] != h[at]).any():
+        own[off] += 1
+    lo, hi = np.maximum(lo, first[own]), np.minimum(hi, end[own])
+    # of equal places in a stretch, each owns what starts after the one before
+    order = np.argsort(own, kind="stable")
+    tie = own[order][1:] == own[order][:-1]
+    lo[order[1:][tie]] = np.maximum(lo[order[1:][tie]], at[order[:-1][tie]] + 1)
+    use = lo <= hi
+    at, lo, hi = at[use], lo[use], hi[use] + length
+    return at, lo, hi, h[at], mixed(p.of(lo, hi) + (at - lo).astype(np.uint64))
+
+
+ANCHORS = "doc long, at long, lo long, hi long, h long, ctx long"
 
 
 def anchor_rows(length: int, k: int):
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if len(data) >= length:
-                    at, h, c = anchors_of(data, length, k)
-                    for x, y in zip(out, (np.full(len(at), key), at, h.view(np.int64), c.view(np.int64)), strict=True):
+                    at, lo, hi, h, c = anchors_of(data, length, k)
+                    for x, y in zip(out, (np.full(len(at), key), at, lo, hi, h.view(np.int64), c.view(np.int64)), strict=True):
                         x.append(y)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "at", "h", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "at", "lo", "hi", "h", "ctx"])
 
     return run
 
 
 def side_rows(length: int, k: int):
-    """(doc, text, list of places with their h, ctx, n) to both sides of each place: (half, side, h, ctx, n, shift, bytes)."""
-    w = length - k + 1
+    """(doc, text, places with their strings, h, ctx, n) to both sides of each place: (grp, part, h, ctx, n, shift, bytes)."""
     half = (length - k) // 2
 
     def run(batches):
@@ -180,16 +199,14 @@ def side_rows(length: int, k: int):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for data, found in zip(texts, batch.column("found").to_pylist(), strict=True):
                 for a in found:
-                    at, n = a["at"], len(data)
-                    # strings that start at or before at - half hold the bytes from there on; the others those up to at + k + half
-                    for side, lo, hi, key in (("a", at - (w - 1), at - half + length, data[max(0, at - half) : at + k]), ("b", at - half + 1, at + length, data[at : at + length - half])):
-                        if side == "a" and at < half:
-                            continue
-                        part = data[max(0, lo) : min(hi, n)]
-                        if len(part) >= length:
+                    at, last = a["at"], a["hi"] - length
+                    # strings that start at or before at - half hold the bytes from there on; the others those up to at + length - half
+                    for side, lo, hi, key in ((b"a", a["lo"], min(last, at - half), (at - half, at + k)), (b"b", max(a["lo"], at - half + 1), last, (at, at + length - half))):
+                        if lo <= hi:
+                            part = data[lo : hi + length]
                             digest = hashlib.blake2b(part, digest_size=16).digest()
-                            group = int.from_bytes(hashlib.blake2b(side.encode() + key, digest_size=8).digest(), "little", signed=True)
-                            rows.append((group, digest, a["h"], a["ctx"], a["n"], max(0, lo) - at, part))
+                            group = int.from_bytes(hashlib.blake2b(side + data[key[0] : key[1]], digest_size=8).digest(), "little", signed=True)
+                            rows.append((group, digest, a["h"], a["ctx"], a["n"], lo - at, part))
             for i in range(0, len(rows), 4096):
                 cols = zip(*rows[i : i + 4096], strict=True)
                 types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -263,15 +280,14 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int =
     """(doc, text, n_bytes, n_removed, n_spans, kept_sha256, kept) for each different text that loses bytes; doc is the digest of the text."""
     t = F.coalesce(F.col(text), F.lit("")).cast("string")
     own = docs.select(F.md5(t).alias("id"), t.alias("text")).withColumn("doc", F.xxhash64("id"))
-    a = cut(own.select("doc", "text").mapInArrow(anchor_rows(length, k), "doc long, at long, h long, ctx long"))
+    a = cut(own.select("doc", "text").mapInArrow(anchor_rows(length, k), ANCHORS))
     by_h = a.groupBy("h").agg(F.count("*").alias("m"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("m > 1")
     several = cut(by_h.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     shared = cut(a.join(several, "h"))
-    w = length - k + 1
     # contexts that occur once or more under a hash with several contexts: one place stands for all of them
-    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one"))
-    ctxs = cut(ctxs.select("h", "ctx", "n", "one.doc", "one.at"))
-    wanted = ctxs.groupBy("doc").agg(F.collect_list(F.struct("at", "h", "ctx", "n")).alias("found"))
+    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
+    ctxs = cut(ctxs.select("h", "ctx", "n", "one.*"))
+    wanted = ctxs.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "ctx", "n")).alias("found"))
     hit = shared.select("doc").distinct()
     # equal texts are one row from here on
     texts = own.join(hit, "doc", "left_semi").groupBy("doc", "id").agg(F.any_value("text").alias("text"))
@@ -292,10 +308,10 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int =
     side_cuts = sides.select("grp", "part", "h", "ctx", "shift").join(cuts, ["grp", "part"]).select("h", "ctx", F.transform("cut", lambda x: x + F.col("shift")).alias("cut"))
     ctx_cuts = cut(side_cuts.groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut")))
     mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "at", "cut")
-    own_places = shared.filter("NOT mixed").select("doc", "at", F.array(F.lit(-(w - 1)), F.lit(length)).alias("cut"))
+    own_places = shared.filter("NOT mixed").select("doc", "at", F.array(F.col("lo") - F.col("at"), F.col("hi") - F.col("at")).cast("array<int>").alias("cut"))
     places = mixed_places.unionByName(own_places).distinct().groupBy("doc").agg(F.collect_list(F.struct("at", "cut")).alias("found"))
-    clipped = texts.join(places, "doc").withColumn("size", F.octet_length("text")).select("doc", "text", F.transform("found", lambda x: F.struct(x["at"].alias("at"), F.transform(x["cut"], lambda c: F.greatest(-x["at"], F.least(c, F.col("size") - x["at"])).cast("int")).alias("cut"))).alias("found"))
-    return clipped.mapInArrow(remaining(texts_too), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = texts.join(places, "doc").select("doc", "text", "found")
+    return found.mapInArrow(remaining(texts_too), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP, texts_too: bool = False) -> DataFrame:
