@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_FEATURES, SEVERE_HITS, CUT = 10_000, 4_000, 6, 0.35
+MAX_LABELLED, MAX_FEATURES, SEVERE_HITS, CUT = 10_000, 4_000, 6, 0.2
 #: Features below this chi-square are left out.
 MIN_CHI2 = 5.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     by_id = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__l")).agg(F.max("toxic").alias("__toxic"))
     chosen = by_id.orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
     own = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__text"))
-    rows = own.join(chosen, F.col("__i") == F.col("__l")).select("__i", "__text", "__toxic").toArrow().to_pylist()
+    rows = own.join(F.broadcast(chosen), F.col("__i") == F.col("__l")).select("__i", "__text", "__toxic").toArrow().to_pylist()
     # equal texts teach nothing twice, but make what they share look telling
     rows = list({r["__text"]: r for r in sorted(rows, key=lambda r: (r["__i"], r["__text"] or ""), reverse=True)}.values())
     return fit([r["__text"] for r in rows], [int(r["__toxic"] > 0) for r in rows])
