@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 
@@ -35,7 +36,7 @@ WINDOW, END, BLOCK, FORCED = 2048, 1, 1_000_000, 256
 #: What a cut inside a document costs, in ids of padding: after a sentence, within one.
 AFTER_SENTENCE, IN_SENTENCE = 2, 12
 VOCABULARY = "word_bpe_49k.json"
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 
 
 def cuts_of(position: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -93,6 +94,8 @@ class Words:
     of: dict[str, Words] = {}
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library's own would only wake each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -108,14 +111,23 @@ class Words:
             cls.of[path] = cls(path)
         return cls.of[path]
 
-    def ids(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        if new := [w for w in set(words) if w not in known]:
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words that are new to all of them are encoded in one call.
+
+        The tokenizer takes no notice of case, so words are looked up in lower case, unless the text may hold a special
+        token's name.
+        """
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        new = list({w for k in open_ for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+        if new:
             own = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
-            if len(known) + len(own) > REMEMBER:
-                return b"".join([known[w] if w in known else own[w] for w in words])
-            known.update(own)
-        return b"".join([known[w] for w in words])
+            if len(self.known) + len(own) <= REMEMBER:
+                self.known.update(own)
+            for k in open_:
+                found[k] = [own[w] if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_length long"
@@ -156,9 +168,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
 
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(texts), strict=True):
                 doc_ids.append(doc_id)
-                tokens.append(np.frombuffer(words.ids(t or b"") + end, dtype="<u4"))
+                tokens.append(np.frombuffer(ids + end, dtype="<u4"))
                 total += len(tokens[-1])
                 if total >= block:
                     yield flush()
