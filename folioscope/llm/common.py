@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java regular expression.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows that a Python worker gets at once.
+BATCH, BATCH_BYTES = 512, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Python tasks get few rows at once, so long texts stay within a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,5 +50,25 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, split at ASCII white space; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    """The words of a text, split at ASCII white space; none for null. Texts with single spaces and line ends need no regular expression."""
+
+    def single(t: Column) -> Column:
+        return F.trim(F.when(t.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(t, SPACES, " ")).otherwise(t))
+
+    none = F.array().cast("array<string>")
+    return let(single(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))), lambda t: F.when(t == "", none).otherwise(F.split(t, " ")))
+
+
+def plain_lines(text: Column) -> Column:
+    """The lines of a text in lower case, trimmed, inner white space as one space."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    tidy = let(t, lambda t: F.when(t.rlike(r"[\x09\x0B-\x0D]|  | \n|\n "), F.regexp_replace(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n")).otherwise(t))
+    return F.split(F.trim(tidy), "\n")
+
+
+def n_chars(text: Column, of: str) -> Column:
+    """How many of the characters of a text are among those of `of`."""
+    left = text
+    for c in of:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
