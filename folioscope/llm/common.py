@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,16 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="folioscope-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once, as a table in the shared folder: a lost executor costs no recomputation.
+def _free(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished steps.
 
-    The files go when the driver's JVM ends.
+    Spark drops them only when the driver collects its garbage, which a driver with little to do puts off while
+    executors' disks fill.
     """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared folder: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    out = df.checkpoint(eager=True)
+    _free(spark)
+    return out
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """As cut, for large rows: a Parquet table in the shared folder, read by column. It goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folioscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep
 
 #: Entries of a bucket before it splits, entries of a page, and the most bits the directory may have.
-CAPACITY, PAGE, MAX_DEPTH = 200_000, 2_000, 20
+CAPACITY, PAGE, MAX_DEPTH = 200_000, 200, 20
 
 
 def key_of(sha: Column, bits: int) -> Column:
@@ -103,20 +103,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bi
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(t, 256).alias("sha"), t.alias("text"))
-    ids = cut(rows.select("doc_id", "sha", key_of(F.col("sha"), bits).alias("key")))
+    ids = keep(rows.select("doc_id", "sha", key_of(F.col("sha"), bits).alias("key")))
     repeated = cut(ids.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     dirs = directory(repeated, bits, capacity)
     own = rows.withColumn("key", key_of(F.col("sha"), bits)).join(repeated, "key", "left_semi")
     # a page of a bucket holds about `page` entries; hot keys spread over as many pages as they fill
     entry = own.join(repeated, "key").select(bucket_of(F.col("key"), dirs, bits).alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col("n") / page).cast("long")).alias("page"), "key", "text", "doc_id", F.lit(1).cast("long").alias("n"))
-    index = cut(entry.repartition("bucket", "page", F.shiftright("key", max(0, bits - 24))).sortWithinPartitions("bucket", "page"))
+    index = keep(entry.repartition("bucket", "page", F.shiftright("key", max(0, bits - 24))).sortWithinPartitions("bucket", "page"))
     chained = index.mapInArrow(owner_task, ENTRIES)
     merged = chained.select("bucket", F.lit(0).cast("long").alias("page"), "key", "text", "doc_id", "n").repartition("bucket", F.shiftright("key", max(0, bits - 24))).sortWithinPartitions("bucket")
     groups = merged.mapInArrow(owner_task, ENTRIES).select(F.sha2("text", 256).alias("s2"), F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     out = ids.join(groups, F.col("sha") == F.col("s2"), "left")
     alone = F.col("s2").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    stays = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", stays.alias("keep_id"), F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(stays).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def sha256_hex(text: str) -> str:

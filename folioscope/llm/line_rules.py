@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, let, words
+from .common import WORD, let, n_chars, plain_lines, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -21,9 +21,8 @@ BLANKS = " \t\n\x0b\f\r"
 
 def line_hashes(text: Column) -> Column:
     """(hash, words) of each line that has a word, in order."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
-    plain = F.transform(lines, lambda x: F.array_join(words(F.lower(x)), " "))
-    return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
+    lines = F.filter(plain_lines(text), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (n_chars(x, " ") + 1).alias("n")))
 
 
 def repeat_words(w: Column) -> Column:
@@ -60,8 +59,8 @@ def base_columns(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     return {
         "counted": counted,
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.length(t) - n_chars(t, BLANKS)).cast("long"),
+        "n_symbols": n_chars(t, SYMBOLS).cast("long"),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
     }
 
@@ -72,7 +71,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", mi
     Counts are pre-aggregated on the map side; a hot host or line sends one row for each task. The rows are bounded by
     (lines of a document) / share for each host.
     """
-    own = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(line_hashes(F.col(text)), lambda x: x["h"])).alias("hs"))
+    own = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.filter(plain_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("hs"))
     sizes = docs.groupBy(F.col(host).alias("of")).agg(F.count("*").alias("docs"))
     counts = own.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     return counts.join(sizes, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n_docs") > F.col("docs") * share).select("host", "h", "n_docs")
@@ -100,7 +99,8 @@ def clean_lines(docs: DataFrame, text: str = "text", host: str = "source", min_d
     often = frequent_lines(docs, text, host, min_docs, share).groupBy("host").agg(F.collect_set("h").alias("__often"))
     out = docs.join(often.withColumnRenamed("host", "__host"), F.col(host).eqNullSafe(F.col("__host")), "left")
     plain = lambda x: F.xxhash64(F.array_join(words(F.lower(x)), " "))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("__often", F.array().cast("array<long>")), plain(x))), "\n")
+    none = F.array().cast("array<long>")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("__often", none), plain(x))), "\n")
     return out.withColumn(text, kept).drop("__host", "__often")
 
 

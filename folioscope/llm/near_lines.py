@@ -23,50 +23,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, keep, let, n_chars, plain_lines
 
 MIN_WORDS = 8
 
 
-def _joined(ws: Column, start, length) -> Column:
-    return F.array_join(F.slice(ws, start, length), " ")
+def _first(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
+def _count(line: Column) -> Column:
+    return n_chars(line, " ") + 1
 
 
 def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """(ref, line, lh) of the lines of min_words words or more; ref orders lines: null ids first, then id, line number."""
-    rows = docs.select(F.col(id_col).alias("__d"), F.posexplode(F.split(text, "\n")).alias("__i", "line"))
-    rows = rows.withColumn("line", F.array_join(words(F.lower("line")), " ")).filter(F.length("line") - F.length(F.translate("line", " ", "")) >= min_words - 1)
-    return rows.select(F.struct(F.col("__d").alias("d"), F.col("__i").alias("i")).alias("ref"), "line", F.xxhash64("line").alias("lh"))
+    """(d, i, line, lh) of the lines of min_words words or more; null ids come first, then id, then line number."""
+    rows = docs.select(F.col(id_col).alias("d"), F.posexplode(plain_lines(F.col(text))).alias("i", "line"))
+    return rows.filter(n_chars(F.col("line"), " ") >= min_words - 1).select("d", "i", "line", F.xxhash64("line").alias("lh"))
 
 
 def half_keys(line: Column) -> Column:
     """Hashes of both halves as of a line of this length and of one word less."""
 
-    def keys(ws: Column) -> Column:
-        n = F.size(ws)
+    def keys(n: Column) -> Column:
         out = []
         for m in (n, n - 1):
-            a = F.floor(m / 2).cast("int")
-            out += [F.xxhash64(F.lit("a"), m, _joined(ws, F.lit(1), a)), F.xxhash64(F.lit("b"), m, _joined(ws, n - (m - a) + 1, m - a))]
+            a = F.shiftright(m, 1)
+            out += [F.xxhash64(F.lit("a"), m, _first(line, a)), F.xxhash64(F.lit("b"), m, _first(line, a - m))]
         return F.array(*out)
 
-    return let(F.split(line, " "), keys)
+    return let(_count(line), keys)
+
+
+def _without(line: Column, i: Column, n: Column) -> Column:
+    """line, of n words, without its word i."""
+    return F.trim(F.concat(_first(line, i), F.lit(" "), _first(line, i + 1 - n)))
+
+
+def variants_of(line: Column, first: Column, second: Column) -> Column:
+    """(i, hash) of the line without word i, for the words of the first and of the second half, as asked for."""
+
+    def run(n: Column) -> Column:
+        half = F.shiftright(n, 1)
+        lo, hi = F.when(first, 0).otherwise(F.shiftright(n - 1, 1)), F.when(second, n - 1).otherwise(n - half - 1)
+        return F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("i"), F.xxhash64(_without(line, i, n)).alias("v")))
+
+    return let(_count(line), run)
 
 
-def _without(ws: Column, i: Column) -> Column:
-    return F.array_join(F.concat(F.slice(ws, F.lit(1), i), F.slice(ws, i + 2, F.size(ws))), " ")
+def line_index(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """(d, i, lh, keys): the lines by hash, written once for all that follows."""
+    return keep(line_rows(docs, id_col, text, min_words).select("d", "i", "lh", half_keys(F.col("line")).alias("keys")))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(lh, first): line hashes that repeat or have an earlier neighbour. first is the occurrence that stays, else null."""
-    lines = line_rows(docs, id_col, text, min_words)
-    keys = lines.select("lh", F.explode(half_keys(F.col("line"))).alias("k"))
+    keys = index.select("lh", F.posexplode("keys").alias("side", "k"))
     shared = keys.groupBy("k").agg(F.min("lh").alias("lo"), F.max("lh").alias("hi")).filter("lo < hi").select("k")
-    hit = keys.join(shared, "k", "left_semi").select("lh").distinct()
-    firsts = lines.groupBy("lh").agg(F.min("ref").alias("first"), F.count("*").alias("n"))
-    near = cut(lines.join(hit, "lh", "left_semi").groupBy("lh").agg(F.min("ref").alias("first"), F.any_value("line").alias("line")))
-    ws = F.split("line", " ")
-    variants = near.select("lh", "first", F.posexplode(let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.xxhash64(_without(w, i))))).alias("i", "v"))
+    # lines that share a first half differ in the second, and the other way round
+    hit = keys.join(cut(shared), "k", "left_semi").groupBy("lh").agg(F.max(F.col("side") % 2 == 1).alias("in_first"), F.max(F.col("side") % 2 == 0).alias("in_second"))
+    firsts = cut(index.groupBy("lh").agg(F.min(F.struct("d", "i")).alias("first"), F.count("*").alias("n")))
+    # the words of each such line, from where it stands first
+    places = hit.join(firsts, "lh").select("lh", "first", "in_first", "in_second")
+    lines = line_rows(docs, id_col, text, min_words).select(F.col("lh").alias("own"), "line", F.struct("d", "i").alias("ref"))
+    near = keep(lines.join(places, (F.col("own") == F.col("lh")) & F.col("ref").eqNullSafe(F.col("first"))).select("lh", "first", "line", "in_first", "in_second").dropDuplicates(["lh"]))
+    variants = keep(near.select("lh", "first", F.inline(variants_of(F.col("line"), F.col("in_first"), F.col("in_second")))))
     # a line equal to a variant of another is within one edit of it, whatever the place
     whole = near.select(F.col("lh").alias("v"), F.struct("first", "lh").alias("whole"))
     starred = variants.groupBy("v", "i").agg(F.min(F.struct("first", "lh")).alias("lead"), F.max(F.struct("first", "lh")).alias("last")).filter("lead < last").select("v", "i", "lead")
@@ -75,20 +96,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     longer_goes = shorter.filter(F.col("whole.first") < F.col("first")).select("lh", F.col("whole.lh").alias("by"), "i", F.lit(False).alias("both"))
     shorter_goes = shorter.filter(F.col("whole.first") > F.col("first")).select(F.col("whole.lh").alias("lh"), F.col("lh").alias("by"), "i", F.lit(None).cast("boolean").alias("both"))
     pairs = same.unionByName(longer_goes).unionByName(shorter_goes).dropDuplicates(["lh", "by"])
-    a, b = near.select("lh", F.split("line", " ").alias("a")), near.select(F.col("lh").alias("by"), F.split("line", " ").alias("b"))
+    a, b = near.select("lh", F.col("line").alias("a")), near.select(F.col("lh").alias("by"), F.col("line").alias("b"))
     checked = pairs.join(a, "lh").join(b, "by")
-    x = F.when(F.col("both").isNull(), F.array_join("a", " ")).otherwise(_without(F.col("a"), F.col("i")))
-    y = F.when(F.col("both").isNull() | F.col("both"), _without(F.col("b"), F.col("i"))).otherwise(F.array_join("b", " "))
+    x = F.when(F.col("both").isNull(), F.col("a")).otherwise(_without(F.col("a"), F.col("i"), _count(F.col("a"))))
+    y = F.when(F.col("both").isNull() | F.col("both"), _without(F.col("b"), F.col("i"), _count(F.col("b")))).otherwise(F.col("b"))
     gone = checked.filter(x == y).select("lh").distinct().withColumn("near", F.lit(True))
     return firsts.join(gone, "lh", "left").filter("n > 1 OR near").select("lh", F.when(F.col("near"), F.lit(None)).otherwise(F.col("first")).alias("first"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, gone): for each document that loses lines, their numbers."""
-    out = removed_lines(docs, id_col, text, min_words).withColumnRenamed("lh", "lh2")
-    lines = line_rows(docs, id_col, text, min_words).select("ref", "lh")
-    gone = lines.join(out, F.col("lh") == F.col("lh2")).filter(F.col("first").isNull() | (F.col("ref") != F.col("first")))
-    return gone.groupBy(F.col("ref.d").alias("__d")).agg(F.collect_set("ref.i").alias("__gone"))
+    index = line_index(docs, id_col, text, min_words)
+    out = cut(removed_lines(docs, index, id_col, text, min_words).withColumnRenamed("lh", "lh2"))
+    gone = index.join(out, F.col("lh") == F.col("lh2")).filter(F.col("first").isNull() | (F.struct("d", "i") != F.col("first")))
+    return gone.groupBy(F.col("d").alias("__d")).agg(F.collect_set("i").alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
