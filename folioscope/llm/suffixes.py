@@ -13,13 +13,15 @@ strings of `length` bytes always meet:
 2. An anchor's context is the bytes of the strings that belong to it. Where all contexts of a hash are equal, all their
    strings repeat. So do those of any context that occurs twice.
 3. Other contexts are split in two sides: a string has at least half of its remaining bytes before or after the
-   anchor. Sides that share the anchor and that half form a group. A group of up to GROUP different sides gets its
-   suffix array; neighbours in it that agree in `length` bytes repeat.
-4. Larger groups (a passage of half a string's length in very many documents) count hashes of whole strings, dealt by
-   hash, with map-side sums: an exact way without a bound on a group's size.
+   anchor. Sides that share the anchor and that half form a group. In a group of one side that occurs more than once
+   all strings repeat. A group of up to GROUP different sides gets its suffix array; neighbours in it that agree in
+   `length` bytes repeat.
+4. Larger groups (half a string in very many documents) are refined: strings are dealt by a narrower range of their
+   distance from the anchor, so that those of a group share more bytes, down to single strings, which need no order. So
+   no group's size is bounded by a cap, and none is left out.
 
-Repeated starts are then mapped back through (hash, context) to the documents. Equal documents are one entry until
-the last join, as what goes depends on the content alone.
+Repeated starts are then mapped back through (hash, context) to the documents, by a digest of the text, as what goes
+depends on the content alone.
 
 Defined cases: a null text is empty; texts under `length` bytes lose nothing; repeated rows, and rows with equal texts,
 are different places, so they remove each other; ids are only passed on; an empty table gives no rows.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep
 from .hashing import Prefix, mixed, window_extreme
 
 LENGTH, K, GROUP = 200, 24, 48
@@ -47,7 +49,7 @@ def suffix_array(values) -> list[int]:
     members: dict[int, list[int]] = {}
     for i, c in enumerate(s):
         members.setdefault(c, []).append(i)
-    group, size, groups, start_of_end = [0] * n, {}, {}, {}
+    group, size, groups, start_of_end = [0] * n, [0] * n, [()] * n, [0] * (n + 1)
     at = 0
     for c in sorted(members):
         m = members[c]
@@ -61,8 +63,23 @@ def suffix_array(values) -> list[int]:
     # groups in descending order; a group's members are in text order, those that moved away are passed over
     while end > 0:
         g = start_of_end[end]
-        own = groups[g] if size[g] == len(groups[g]) else [i for i in groups[g] if group[i] == g]
-        groups[g] = own
+        end = g
+        own = groups[g]
+        if size[g] != len(own):
+            own = [i for i in own if group[i] == g]
+        if len(own) == 1:
+            i = own[0]
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = before[j]
+            before[i] = j
+            if j >= 0 and size[h := group[j]] > 1:
+                size[h] -= 1
+                new = h + size[h]
+                start_of_end[new + 1], start_of_end[new] = new, h
+                groups[new], size[new] = (j,), 1
+                group[j] = new
+            continue
         count: dict[int, int] = {}
         for i in own:
             j = i - 1
@@ -85,7 +102,6 @@ def suffix_array(values) -> list[int]:
             groups[new], size[new] = m, k
             for j in m:
                 group[j] = new
-        end = g
     # emit: when a suffix is in place, those whose Lyndon prefix ends where it starts come next in their groups
     order, free, placed = [-1] * n, list(range(n)), [False] * n
     order[0] = n - 1
@@ -171,26 +187,46 @@ def anchors_of(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
     return at, lo, hi, h[at], mixed(p.of(lo, hi) + (at - lo).astype(np.uint64))
 
 
-ANCHORS = "doc long, at long, lo long, hi long, h long, ctx long"
+ANCHORS = "doc long, place long, h long, ctx long"
+
+
+def packed_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """place, distance to the first byte and to the end, in one long; distances are under 2^12."""
+    return at << 24 | (at - lo) << 12 | (hi - at)
 
 
 def anchor_rows(length: int, k: int):
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if len(data) >= length:
                     at, lo, hi, h, c = anchors_of(data, length, k)
-                    for x, y in zip(out, (np.full(len(at), key), at, lo, hi, h.view(np.int64), c.view(np.int64)), strict=True):
+                    for x, y in zip(out, (np.full(len(at), key), packed_place(at, lo, hi), h.view(np.int64), c.view(np.int64)), strict=True):
                         x.append(y)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "at", "lo", "hi", "h", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "place", "h", "ctx"])
 
     return run
 
 
+SIDES = "grp long, part long, h long, ctx long, n long, shift int, bytes binary"
+
+
+def _side(key: bytes, width: int, row: dict, lo: int, part: bytes) -> tuple:
+    """lo: the first byte of part, from the anchor. Strings of equal content are equally far from it."""
+    short = lambda *x: int.from_bytes(hashlib.blake2b(b"|".join(x), digest_size=8).digest(), "little", signed=True)
+    return short(b"%d" % width, key), short(b"%d" % lo, part), row["h"], row["ctx"], row["n"], lo, part
+
+
+def _batches(rows: list[tuple]):
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for i in range(0, len(rows), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), types, strict=True)], names=["grp", "part", "h", "ctx", "n", "shift", "bytes"])
+
+
 def side_rows(length: int, k: int):
-    """(doc, text, places with their strings, h, ctx, n) to both sides of each place: (grp, part, h, ctx, n, shift, bytes)."""
+    """(text, places with h, ctx, n) to rows of SIDES, both sides of each place."""
     half = (length - k) // 2
 
     def run(batches):
@@ -199,18 +235,30 @@ def side_rows(length: int, k: int):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for data, found in zip(texts, batch.column("found").to_pylist(), strict=True):
                 for a in found:
-                    at, last = a["at"], a["hi"] - length
+                    at, lo, last = a["place"] >> 24, a["place"] >> 12 & 4095, (a["place"] & 4095) - length
                     # strings that start at or before at - half hold the bytes from there on; the others those up to at + length - half
-                    for side, lo, hi, key in ((b"a", a["lo"], min(last, at - half), (at - half, at + k)), (b"b", max(a["lo"], at - half + 1), last, (at, at + length - half))):
-                        if lo <= hi:
-                            part = data[lo : hi + length]
-                            digest = hashlib.blake2b(part, digest_size=16).digest()
-                            group = int.from_bytes(hashlib.blake2b(side + data[key[0] : key[1]], digest_size=8).digest(), "little", signed=True)
-                            rows.append((group, digest, a["h"], a["ctx"], a["n"], lo - at, part))
-            for i in range(0, len(rows), 4096):
-                cols = zip(*rows[i : i + 4096], strict=True)
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "part", "h", "ctx", "n", "shift", "bytes"])
+                    for width, lo_, hi, key in ((-1, -lo, min(last, -half), (at - half, at + k)), (-2, max(-lo, 1 - half), last, (at, at + length - half))):
+                        if lo_ <= hi:
+                            rows.append(_side(data[key[0] : key[1]], width, a, lo_, data[at + lo_ : at + hi + length]))
+            yield from _batches(rows)
+
+    return run
+
+
+def refined_rows(length: int, width: int):
+    """Rows of SIDES to rows whose strings start within one stretch of `width` distances: the bytes that all of these hold are the key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                lo, data = r["shift"], r["bytes"]
+                last = lo + len(data) - length
+                for a in range(lo // width, last // width + 1):
+                    x, y = max(lo, a * width), min(last, a * width + width - 1)
+                    core = data[a * width + width - 1 - lo : a * width + length - lo]
+                    rows.append(_side(b"%d|" % a + core, width, r, x, data[x - lo : y - lo + length]))
+            yield from _batches(rows)
 
     return run
 
@@ -219,106 +267,104 @@ def sort_groups(length: int):
     """Rows (grp, part, n, bytes) sorted by grp: the repeated stretches of each part, by one suffix array for each group."""
 
     def run(batches):
-        at, rows = None, []
+        at, rows, done = None, [], []
 
-        def out():
+        def sort():
             found = repeated_starts([r[2] for r in rows], [r[1] for r in rows], length)
-            keep = [(at, r[0], spans(s, length)) for r, s in zip(rows, found, strict=True) if s]
-            if keep:
-                cols = zip(*keep, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["grp", "part", "cut"])
+            done.extend((at, r[0], spans(x, length)) for r, x in zip(rows, found, strict=True) if x)
+
+        def out():
+            cols = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["grp", "part", "cut"])
 
         for batch in batches:
             for g, part, n, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if g != at:
                     if rows:
-                        yield from out()
+                        sort()
                     at, rows = g, []
                 rows.append((part, n, data))
+            if done:
+                yield out()
+                done.clear()
         if rows:
-            yield from out()
-
-    return run
-
-
-def string_rows(length: int):
-    """Parts of large groups to a row for each of their strings: (grp, part, start, hash of the string, n)."""
-
-    def run(batches):
-        for batch in batches:
-            for g, part, n, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                h = Prefix(data).rolling(length).view(np.int64)
-                m = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, g)), pa.array([part] * m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(h), pa.array(np.full(m, n))], names=["grp", "part", "start", "string", "n"])
+            sort()
+            if done:
+                yield out()
 
     return run
 
 
 def remaining(texts: bool):
-    """(doc, text, cuts at places) to the sizes and the digest of what is left, and to the bytes themselves if texts."""
+    """(doc_id, text, flat pairs of stretches or null) to the sizes and the digest of what is left, and to the bytes themselves if texts."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for data, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+            found = batch.column("found")
+            ends, flat = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False)
+            for i, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                pairs = flat[ends[i] : ends[i + 1]]
+                if not len(pairs):
+                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data if texts else None))
+                    continue
                 flag = np.zeros(len(data) + 2, dtype=np.int32)
-                for f in found:
-                    pairs = np.array(f["cut"], dtype=np.int64) + f["at"]
-                    np.add.at(flag, pairs[0::2] + 1, 1)
-                    np.add.at(flag, pairs[1::2] + 1, -1)
+                np.add.at(flag, pairs[0::2] + 1, 1)
+                np.add.at(flag, pairs[1::2] + 1, -1)
                 gone = np.cumsum(flag) > 0
                 left = np.frombuffer(data, dtype=np.uint8)[~gone[1:-1]].tobytes()
                 out.append((len(data), len(data) - len(left), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest(), left if texts else None))
             n, removed, runs, sha, left = zip(*out, strict=True) if out else [()] * 5
-            cols = [batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP, texts_too: bool = False) -> DataFrame:
-    """(doc, text, n_bytes, n_removed, n_spans, kept_sha256, kept) for each different text that loses bytes; doc is the digest of the text."""
-    t = F.coalesce(F.col(text), F.lit("")).cast("string")
-    own = docs.select(F.md5(t).alias("id"), t.alias("text")).withColumn("doc", F.xxhash64("id"))
-    a = cut(own.select("doc", "text").mapInArrow(anchor_rows(length, k), ANCHORS))
-    by_h = a.groupBy("h").agg(F.count("*").alias("m"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("m > 1")
-    several = cut(by_h.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
-    shared = cut(a.join(several, "h"))
-    # contexts that occur once or more under a hash with several contexts: one place stands for all of them
-    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
-    ctxs = cut(ctxs.select("h", "ctx", "n", "one.*"))
-    wanted = ctxs.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "ctx", "n")).alias("found"))
-    hit = shared.select("doc").distinct()
-    # equal texts are one row from here on
-    texts = own.join(hit, "doc", "left_semi").groupBy("doc", "id").agg(F.any_value("text").alias("text"))
-    texts = cut(texts.select("doc", "text"))
-    sides = cut(texts.join(wanted, "doc").mapInArrow(side_rows(length, k), "grp long, part binary, h long, ctx long, n long, shift int, bytes binary"))
-    parts = sides.groupBy("grp", "part").agg(F.sum("n").alias("n"))
-    sizes = parts.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("total > 1")
-    # one representative's bytes for each part
-    bytes_of = sides.join(sizes, "grp").groupBy("grp", "part", "m").agg(F.sum("n").alias("n"), F.min("bytes").alias("bytes"))
-    bytes_of = cut(bytes_of)
-    small = bytes_of.filter(F.col("m") <= group).select("grp", "part", "n", "bytes").repartition("grp").sortWithinPartitions("grp")
-    sorted_cuts = small.mapInArrow(sort_groups(length), "grp long, part binary, cut array<int>")
-    strings = cut(bytes_of.filter(F.col("m") > group).select("grp", "part", "n", "bytes").mapInArrow(string_rows(length), "grp long, part binary, start int, string long, n long"))
-    again = strings.groupBy("grp", "string").agg(F.sum("n").alias("times")).filter("times > 1").select("grp", "string")
-    flat = strings.join(again, ["grp", "string"]).groupBy("grp", "part").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    counted_cuts = flat.select("grp", "part", F.flatten(F.transform("starts", lambda x: F.array(x, x + length))).alias("cut"))
-    cuts = sorted_cuts.unionByName(counted_cuts)
-    side_cuts = sides.select("grp", "part", "h", "ctx", "shift").join(cuts, ["grp", "part"]).select("h", "ctx", F.transform("cut", lambda x: x + F.col("shift")).alias("cut"))
-    ctx_cuts = cut(side_cuts.groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut")))
-    mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "at", "cut")
-    own_places = shared.filter("NOT mixed").select("doc", "at", F.array(F.col("lo") - F.col("at"), F.col("hi") - F.col("at")).cast("array<int>").alias("cut"))
-    places = mixed_places.unionByName(own_places).distinct().groupBy("doc").agg(F.collect_list(F.struct("at", "cut")).alias("found"))
-    found = texts.join(places, "doc").select("doc", "text", "found")
-    return found.mapInArrow(remaining(texts_too), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def repeated_in(sides: DataFrame, length: int, group: int) -> DataFrame:
+    """(h, ctx, cut): what repeats among rows of SIDES, as stretches from the anchor."""
+    found = None
+    # half of the distances, then stretches of them, then single strings
+    for width in (None, max(2, length // 9), max(2, length // 40), 1):
+        if width:
+            sides = keep(sides.mapInArrow(refined_rows(length, width), SIDES))
+        # equal rows of a document give equal rows here, of which one counts
+        once = sides.groupBy("grp", "part", "h", "ctx").agg(F.max("n").alias("n"), F.max("shift").alias("shift"), F.max(F.length("bytes")).alias("size"))
+        counts = once.groupBy("grp", "part").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+        sizes = cut(counts.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("total > 1"))
+        all_of = counts.join(sizes.filter("m = 1"), "grp").select("grp", "part", F.array(F.lit(0), F.col("size")).alias("cut"))
+        small = sizes.filter((F.col("m") > 1) & (F.col("m") <= group)).select("grp")
+        data = sides.join(small, "grp", "left_semi").groupBy("grp", "part").agg(F.max("bytes").alias("bytes"))
+        few = data.join(counts.select("grp", "part", "n"), ["grp", "part"]).select("grp", "part", "n", "bytes")
+        sorted_ = cut(few.repartition("grp").sortWithinPartitions("grp").mapInArrow(sort_groups(length), "grp long, part long, cut array<int>"))
+        cuts = once.join(all_of.unionByName(sorted_), ["grp", "part"]).select("h", "ctx", F.transform("cut", lambda x: x + F.col("shift")).alias("cut"))
+        found = cuts if found is None else found.unionByName(cuts)
+        many = sizes.filter(F.col("m") > max(group, 1)).select("grp")
+        if width == 1 or many.isEmpty():
+            return found
+        sides = sides.join(many, "grp", "left_semi")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP, texts_too: bool = False) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (with texts_too the remaining bytes, null if all remain)."""
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, with texts_too)."""
     t = F.coalesce(F.col(text), F.lit("")).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.md5(t)).alias("own"), F.octet_length(t).cast("long").alias("bytes"), F.sha2(t, 256).alias("sha"))
-    found = cut(repeated(docs, text, length, k, group, texts_too)).drop("n_bytes")
-    out = rows.join(found, rows["own"] == found["doc"], "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.col("bytes").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.md5(t)).alias("doc"), t.alias("text"))
+    a = keep(own.select("doc", "text").mapInArrow(anchor_rows(length, k), ANCHORS))
+    by_h = a.groupBy("h").agg(F.count("*").alias("m"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("m > 1")
+    # written first: a join on what an aggregation has just dealt out could not split a hot hash
+    several = cut(by_h.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
+    shared = keep(a.join(several, "h"))
+    # contexts under a hash with several contexts: one place stands for all of them
+    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")).select("h", "ctx", "n", "one.*")
+    wanted = ctxs.groupBy("doc").agg(F.collect_list(F.struct("place", "h", "ctx", "n")).alias("found")).withColumnRenamed("doc", "of")
+    # of equal texts the row of least id brings the bytes
+    least = own.groupBy("doc").agg(F.min("doc_id").alias("least"))
+    wanted = wanted.join(least, F.col("of") == F.col("doc")).select("of", "least", "found")
+    sides = keep(own.join(wanted, (F.col("doc") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "found").mapInArrow(side_rows(length, k), SIDES))
+    ctx_cuts = repeated_in(sides, length, group).groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "place", "cut")
+    lo, hi = F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
+    own_places = shared.filter("NOT mixed").select("doc", "place", F.array(-lo, hi).cast("array<int>").alias("cut"))
+    places = mixed_places.unionByName(own_places).distinct().groupBy("doc").agg(F.flatten(F.collect_list(F.transform("cut", lambda x: x + F.shiftright("place", 24)))).alias("found")).withColumnRenamed("doc", "of")
+    out = own.join(places, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "found")
+    return out.mapInArrow(remaining(texts_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
