@@ -1,0 +1,57 @@
+import random
+
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import folds, search, vectors
+
+CASES = [("الإمام الصادق", "الامام الصادق"), ("مُحَمَّد", "محمد"), ("مصطفى", "مصطفي"), ("رحمة", "رحمه"), ("١٤٠٢", "1402"), ("۱۴۰۲", "1402"), ("الگلپايگاني", "الكلبايكاني"), ("أ", "ا"), ("  spaced\tout\ntext  ", "spaced out text"), ("a b", "a b"), ("ًٌٍ", ""), ("", ""), (None, None), ("ISBN 964-440-062-3", "isbn 964-440-062-3"), ("﻿علم", "علم"), ("ع‌لم", "علم"), ("ؤ", "ؤ"), ("ئ", "ئ"), ("ۀ", "ه"), ("é", "é")]
+
+
+def test_normalize(spark):
+    df = spark.createDataFrame(CASES, "a string, b string")
+    for r in df.select("b", T.normalize(F.col("a")).alias("n"), T.normalize(T.normalize(F.col("a"))).alias("nn")).collect():
+        assert r.n == r.b == r.nn
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("400 هـ", 400), ("أوائل قرن ٣", 3), ("ق 12", 12), ("معاصر", None), (None, 99999)], "l string, y int")
+    assert [r[0] for r in df.select(T.order_key(F.col("l"), F.col("y"))).collect()] == [400, 250, 1150, 99999, 99999]
+    one = spark.createDataFrame([("الْعِلْمُ   نُـــورٌ", "12 ب 7", "x" * 70, "dr sir", "a ١٢")], "c string, p string, t string, n string, d string")
+    r = one.select(T.clean_marks(F.col("c")), T.printed_number(F.col("p")), T.title_of(F.col("t")), T.name_core(F.col("n"), ["dr", "sir"]), T.first_int(F.col("d"))).first()
+    assert tuple(r) == ("العلم نور", 12, "x" * 59 + "…", "sir", 12)
+
+
+def test_snippet_and_chunks():
+    assert search.snippet("one two three", "two", 1) == ("one two three", 4, 7)
+    assert search.snippet("One. Two", "one two", 5)[1:] == (None, None)
+    words = [w + ("." if i % 20 == 19 else "") for i, w in enumerate(["w"] * 600)]
+    c = search.chunk_words(words)
+    assert len(c) >= 3 and all(len(x) <= 220 and x[-1] == "w." for x in c) and c[1][:20] == c[0][-20:]
+
+
+def test_longest_rising():
+    r = random.Random(1)
+    for _ in range(200):
+        v = [r.randint(0, 9) for _ in range(r.randint(0, 9))]
+        best = 0
+        for mask in range(1 << len(v)):
+            s = [x for i, x in enumerate(v) if mask >> i & 1]
+            if all(a < b for a, b in zip(s, s[1:])):
+                best = max(best, len(s))
+        got = [v[i] for i in folds.longest_rising(v)]
+        assert len(got) == best and all(a < b for a, b in zip(got, got[1:]))
+
+
+def test_refused_calls_do_not_count(spark):
+    e = spark.sql("SELECT id AS event_id, 1L AS user_id, timestamp_seconds(id * 1200) AS ts FROM range(8)")
+    got = {r.event_id: r.allowed for r in folds.rate_fold(e).collect()}
+    assert [got[i] for i in range(8)] == [True, True, False, True, True, False, True, True]
+
+
+def test_lsh_recall(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.filter("vec_id % 50 = 0")
+    pairs = lambda d: {(r.query, r.vec_id) for r in d.collect()}
+    want = pairs(vectors.topk(q, v, 5))
+    assert len(want & pairs(vectors.lsh_topk(q, v, 5))) >= 0.9 * len(want)
