@@ -68,11 +68,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def has_any(text: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text, split at ASCII white space; none for null. Texts with single spaces and line ends need no regular expression."""
 
     def single(t: Column) -> Column:
-        return F.trim(F.when(t.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(t, SPACES, " ")).otherwise(t))
+        return F.trim(F.when(has_any(t, ["  ", "\t", "\x0b", "\f", "\r"]), F.regexp_replace(t, SPACES, " ")).otherwise(t))
 
     none = F.array().cast("array<string>")
     return let(single(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))), lambda t: F.when(t == "", none).otherwise(F.split(t, " ")))
@@ -81,13 +88,14 @@ def words(text: Column) -> Column:
 def plain_lines(text: Column) -> Column:
     """The lines of a text in lower case, trimmed, inner white space as one space."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    tidy = let(t, lambda t: F.when(t.rlike(r"[\x09\x0B-\x0D]|  | \n|\n "), F.regexp_replace(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n")).otherwise(t))
+    odd = ["  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"]
+    tidy = let(t, lambda t: F.when(has_any(t, odd), F.regexp_replace(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n")).otherwise(t))
     return F.split(F.trim(tidy), "\n")
 
 
 def n_chars(text: Column, of: str) -> Column:
-    """How many of the characters of a text are among those of `of`."""
+    """How many of the characters of a text are among those of `of`, which are ASCII."""
     left = text
     for c in of:
         left = F.replace(left, F.lit(c), F.lit(""))
-    return F.length(text) - F.length(left)
+    return F.octet_length(text) - F.octet_length(left)
