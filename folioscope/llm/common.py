@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="folioscope-")
 
 
-def _free(spark: SparkSession) -> None:
+def free(spark: SparkSession) -> None:
     """Lets go of shuffle files of finished steps.
 
     Spark drops them only when the driver collects its garbage, which a driver with little to do puts off while
@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     out = df.checkpoint(eager=True)
-    _free(spark)
+    free(spark)
     return out
 
 
@@ -59,7 +59,7 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    _free(spark)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

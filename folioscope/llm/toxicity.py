@@ -29,7 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_FEATURES, SEVERE_HITS, CUT = 10_000, 4_000, 6, 0.2
+from .common import free
+
+MAX_LABELLED, MAX_FEATURES, SEVERE_HITS, CUT = 8_000, 4_000, 6, 0.2
 #: Features below this chi-square are left out.
 MIN_CHI2 = 5.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,13 +59,13 @@ class Model:
         return [above[k] - above[k + 1] for k in range(len(above) - 1)]
 
 
-def select_features(sets: list[set[str]], toxic: np.ndarray, limit: int) -> tuple[list[str], dict[str, float]]:
+def select_features(texts: list[str | None], toxic: np.ndarray, limit: int) -> tuple[list[str], dict[str, float]]:
     """Features in at least three documents by chi-square, and their rate ratio."""
     pos: dict[str, int] = {}
     neg: dict[str, int] = {}
-    for s, y in zip(sets, toxic, strict=True):
+    for t, y in zip(texts, toxic, strict=True):
         side = pos if y else neg
-        for f in s:
+        for f in features(t):
             side[f] = side.get(f, 0) + 1
     p, n = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     scored = []
@@ -84,13 +86,13 @@ def fit(texts: list[str | None], toxic: list[int], max_features: int = MAX_FEATU
     y = np.asarray(toxic, dtype=np.int64)
     if not len(y) or not y.any():
         return Model({}, np.zeros(0), np.array([1e3, 1e3]))
-    sets = [features(t) for t in texts]
-    names, ratio = select_features(sets, y, max_features)
+    # features of a text are found twice, so that those of all texts are never held at once
+    names, ratio = select_features(texts, y, max_features)
     vocabulary = {f: i for i, f in enumerate(names)}
-    strong = {f for f in names if ratio[f] >= 20}
-    grade = np.array([0 if not t else 2 if len(s & strong) >= SEVERE_HITS else 1 for s, t in zip(sets, y, strict=True)])
-    rows = np.array([i for i, s in enumerate(sets) for f in s if f in vocabulary], dtype=np.int64)
-    cols = np.array([vocabulary[f] for s in sets for f in s if f in vocabulary], dtype=np.int64)
+    strong = np.array([ratio[f] >= 20 for f in names], dtype=bool)
+    found = [np.array(sorted(vocabulary[f] for f in features(t) if f in vocabulary), dtype=np.int64) for t in texts]
+    rows, cols = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+    grade = np.array([0 if not t else 2 if strong[x].sum() >= SEVERE_HITS else 1 for x, t in zip(found, y, strict=True)])
     n, m = len(y), len(names)
     w, theta, gap = np.zeros(m), 1.0, 1.0
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
@@ -123,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen = by_id.orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
     own = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__text"))
     rows = own.join(F.broadcast(chosen), F.col("__i") == F.col("__l")).select("__i", "__text", "__toxic").toArrow().to_pylist()
+    free(docs.sparkSession)
     # equal texts teach nothing twice, but make what they share look telling
     rows = list({r["__text"]: r for r in sorted(rows, key=lambda r: (r["__i"], r["__text"] or ""), reverse=True)}.values())
     return fit([r["__text"] for r in rows], [int(r["__toxic"] > 0) for r in rows])
