@@ -13,8 +13,9 @@ edit of any earlier line. Variants are keyed by (hash, place of the edit): all l
 other, so comparing each with the earliest of its key finds every line that has an earlier neighbour, and no pairs
 within a group are made. Lines under min_words words are never removed.
 
-Defined cases: a null text has no lines and stays null; null ids come before all others; repeated rows (same id and
-text) are told apart by nothing, so their lines stay in each of them; empty tables give empty results; other columns
+Defined cases: a null text has no lines and stays null; null ids come before all others, in an order that their texts'
+hashes give; repeated rows (same id and text) are told apart by nothing, so their lines stay in each of them; ids name
+one text each: rows with one id that is not null and different texts lose the same line numbers; empty tables give empty results; other columns
 are not looked at, internal names begin with two underscores.
 """
 
@@ -36,9 +37,14 @@ def _count(line: Column) -> Column:
     return n_chars(line, " ") + 1
 
 
+def key_of(id_col: str, text: str) -> Column:
+    """The id; for a null one a number below all ids by the text, so that rows without id are told apart."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
 def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """(d, i, line, lh) of the lines of min_words words or more; null ids come first, then id, then line number."""
-    rows = docs.select(F.col(id_col).alias("d"), F.posexplode(plain_lines(F.col(text))).alias("i", "line"))
+    """(d, i, line, lh) of the lines of min_words words or more; d is the key of the document."""
+    rows = docs.select(key_of(id_col, text).alias("d"), F.posexplode(plain_lines(F.col(text))).alias("i", "line"))
     return rows.filter(n_chars(F.col("line"), " ") >= min_words - 1).select("d", "i", "line", F.xxhash64("line").alias("lh"))
 
 
@@ -115,7 +121,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wor
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines taken out of the text. Documents without a word left, that had some, go."""
     gone = dropped(docs, id_col, text, min_words)
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__d")), "left")
+    out = docs.join(gone, key_of(id_col, text) == F.col("__d"), "left")
     left = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
     out = out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
     return out.filter(F.col("__gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
@@ -124,8 +130,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
 def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (line numbers, comma-joined)."""
     gone = dropped(docs, id_col, text, min_words)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    own = docs.select(F.col(id_col).alias("doc_id"), key_of(id_col, text).alias("__k"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    rows = own.join(gone, F.col("__k") == F.col("__d"), "left")
     n = F.coalesce(F.size("__gone"), F.lit(0))
     return rows.select("doc_id", "n_lines", F.when(F.col("__gone").isNull(), 0).otherwise(n).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.sort_array("__gone"), ","), F.lit("")).alias("removed"))
 

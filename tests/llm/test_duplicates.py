@@ -155,6 +155,14 @@ def test_line_stage_on_awkward_rows(make, awkward):
     assert near_lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_line_stage_tells_rows_without_id_apart(make):
+    one, own = "a line that is found in several of them", "a line with its own words and no twin"
+    docs = make([(9, f"{one}\nshort", "s"), (None, f"{one}\n{own}", "s"), (None, f"{own} at all\n{one}", "s")])
+    left = sorted(line for r in near_lines.dedup_lines(docs).collect() for line in r.text.split("\n"))
+    assert left == sorted([one, own, own + " at all", "short"])
+    assert sorted((r.doc_id is None, r.n_removed) for r in near_lines.line_report(docs).collect()) == [(False, 1), (True, 0), (True, 1)]
+
+
 def brute_spans(texts, length):
     n = Counter()
     data = [(t or "").encode() for t in texts]
