@@ -1,4 +1,4 @@
-"""Folds that depend on the order of arrival: record merge, rate limit with unrecorded refusals, longest rising chain."""
+"""Folds that depend on the order of arrival: record merge, rate limit with unrecorded refusals, longest rising chain, anchor chain."""
 
 from __future__ import annotations
 
@@ -75,3 +75,27 @@ def lis_chain(anchors: DataFrame) -> DataFrame:
         return pdf.iloc[longest_rising(pdf["y"].tolist())]
 
     return anchors.groupBy("grp").applyInPandas(chain, "grp long, x long, y double")
+
+
+def steady_chain(xs: list[float], ys: list[float], drift: float) -> list[int]:
+    """Indexes, by rising x, of a longest chain whose y never falls and whose steps in x and y differ by at most drift."""
+    best, back = [1] * len(xs), [-1] * len(xs)
+    for i in range(len(xs)):
+        for j in range(i):
+            if ys[j] <= ys[i] and abs((ys[i] - ys[j]) - (xs[i] - xs[j])) <= drift and best[j] + 1 > best[i]:
+                best[i], back[i] = best[j] + 1, j
+    out, i = [], max(range(len(xs)), key=lambda k: (best[k], -k), default=-1)
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return out[::-1]
+
+
+def anchor_chain(anchors: DataFrame, drift: float = 50.0) -> DataFrame:
+    """(grp, x, y): the anchors of each group, a book, that agree with each other."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        return pdf.iloc[steady_chain(pdf["x"].tolist(), pdf["y"].tolist(), drift)]
+
+    return anchors.groupBy("grp").applyInPandas(chain, "grp long, x long, y double")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import phrase, token_line
+from ..functions.text import DIGITS_FROM, DIGITS_TO, LETTERS_FROM, LETTERS_TO, MARKS, phrase, token_line
 
 
 def snippet(text: str, query: str, radius: int) -> tuple[str, int | None, int | None]:
@@ -79,3 +79,21 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "n_words"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, text string, n_words long")
+
+
+def folded_pattern(query: str) -> str:
+    """A pattern for the spellings that normalize to query: every original of a letter, marks after it, white space or marks between words."""
+    spelled: dict[str, str] = {}
+    for a, b in zip(LETTERS_FROM + DIGITS_FROM, LETTERS_TO + DIGITS_TO, strict=True):
+        spelled[b] = spelled.get(b, "") + a
+    letter = lambda c: f"[{c}{spelled[c]}]" if c in spelled else re.escape(c)
+    words = [f"{MARKS}*".join(map(letter, w)) for w in query.split()]
+    inside = r"[\p{L}\p{N}_]"
+    return f"(?<!{inside}{MARKS}{{0,2}})" + f"(?:\\s|{MARKS})+".join(words) + f"(?!{MARKS}{{0,2}}{inside})"
+
+
+def locate(docs: DataFrame, query: str) -> DataFrame:
+    """doc_id, start: where the first match begins, in code points; null for pages that hold the phrase across punctuation."""
+    hits = docs.filter(phrase(token_line(F.lower("text")), query.split()))
+    parts = F.split("text", folded_pattern(query), 2)
+    return hits.select("doc_id", F.when(F.size(parts) > 1, F.length(parts[0])).cast("long").alias("start"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 #: Queries in one matrix product; a stated query set is held in blocks of this size.
 BLOCK = 1024
@@ -60,3 +61,14 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 4, ta
     score = F.round(dot(F.col("query_v"), F.col("vec_id_v")) / F.sqrt(dot(F.col("query_v"), F.col("query_v")) * dot(F.col("vec_id_v"), F.col("vec_id_v"))), 6)
     by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return pairs.select("query", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decode_f16(raw: pd.Series) -> pd.Series:
+    """Little-endian half-precision vectors; null for null and for an odd number of bytes."""
+    return raw.map(lambda b: None if b is None or len(b) % 2 else np.frombuffer(b, "<f2").astype(np.float32))
+
+
+@F.pandas_udf(BinaryType())
+def encode_f16(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import folds, search, vectors
 from ..sources.tables import read, views
-from . import catalog
+from . import books, catalog
 from .dialect import Duck, Spark
 
 
@@ -66,3 +66,6 @@ QUERIES |= {
 SQL = {k: f(Duck) for k, f in catalog.QUERIES.items()} | {"normalize": NORMALIZE_SQL, "order_key": ORDER_KEY_SQL, "name_core": "SELECT c_custkey, lower(c_name) AS core FROM customer"}
 SQL["vector_topk"] = """SELECT query, vec_id, score, rank FROM (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings v ON true) t WHERE rank <= 5"""
+
+QUERIES |= books.QUERIES
+SQL |= books.SQL
