@@ -37,6 +37,11 @@ def normalize(text: Column) -> Column:
     return fold(nfc(text))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once for each row; a column used within a lambda may be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(WORD), F.lit(0))
 

@@ -105,9 +105,11 @@ def overlap_score(spark, sf_dir, n: int = 5):
     """Of each item, the share of its different word n-grams that a document holds."""
 
     def grams(df, key):
-        t = df.select(key, T.tokens(F.lower("text")).alias("w")).filter(F.size("w") >= n)
-        g = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return t.select(key, F.array_distinct(g).alias("g"))
+        def of(w):
+            g = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+            return F.when(F.size(w) >= n, F.array_distinct(g))
+
+        return df.select(key, T.once(T.tokens(F.lower("text")), of).alias("g")).filter("g IS NOT NULL")
 
     items = grams(read(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.size("g").alias("of"), F.explode("g").alias("gram"))
     docs = grams(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.explode("g").alias("gram"))
