@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free
+from .common import free, keep
 
 MAX_LABELLED, MAX_FEATURES, SEVERE_HITS, CUT = 10_000, 4_000, 6, 0.35
 #: Features below this chi-square are left out.
@@ -59,38 +59,28 @@ class Model:
         return [above[k] - above[k + 1] for k in range(len(above) - 1)]
 
 
-def select_features(texts: list[str | None], toxic: np.ndarray, limit: int) -> tuple[list[str], dict[str, float]]:
-    """Features in at least three documents by chi-square, and their rate ratio."""
-    pos: dict[str, int] = {}
-    neg: dict[str, int] = {}
-    for t, y in zip(texts, toxic, strict=True):
-        side = pos if y else neg
-        for f in features(t):
-            side[f] = side.get(f, 0) + 1
-    p, n = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    scored = []
-    for f, a in pos.items():
-        b = neg.get(f, 0)
-        if a + b >= 3:
-            d = a * (n - b) - b * (p - a)
-            scored.append((-(d * d * (p + n)) / max(1.0, (a + b) * (p + n - a - b) * p * n), f, (a / p) / ((b + 0.1) / n)))
-    for f, b in neg.items():
-        if f not in pos and b >= 3:
-            scored.append((-(float(b) * b * p * p * (p + n)) / max(1.0, float(b) * (p + n - b) * p * n), f, 0.0))
-    scored = sorted(x for x in scored if -x[0] >= MIN_CHI2)
-    return [f for _, f, _ in scored[:limit]], {f: r for _, f, r in scored[:limit]}
-
-
-def fit(texts: list[str | None], toxic: list[int], max_features: int = MAX_FEATURES, rounds: int = 600, l2: float = 0.02, l1: float = 0.0003) -> Model:
-    """Proximal gradient (FISTA) on the cumulative-link likelihood; theta_1 = theta_0 + exp(gap)."""
+def select_features(found: DataFrame, limit: int) -> tuple[list[str], list[float]]:
+    """Features in at least three texts by chi-square, and their rate ratios. Counting and ranking stay in the cluster."""
+    sides = found.agg(F.sum("__toxic").alias("p"), F.count("*").alias("n")).first()
+    p = float(sides["p"] or 0)
+    n = max(1.0, sides["n"] - p)
+    if not p:
+        return [], []
+    counts = found.select("__toxic", F.explode("__features").alias("f")).groupBy("f").agg(F.sum("__toxic").cast("double").alias("a"), F.count("*").cast("double").alias("c")).filter("c >= 3")
+    a, c, b = F.col("a"), F.col("c"), F.col("c") - F.col("a")
+    d = a * (n - b) - b * (p - a)
+    chi2 = d * d * (p + n) / F.greatest(F.lit(1.0), c * (p + n - c) * p * n)
+    scored = counts.select("f", chi2.alias("chi2"), ((a / p) / ((b + 0.1) / n)).alias("ratio")).filter(F.col("chi2") >= MIN_CHI2)
+    best = scored.orderBy(F.desc("chi2"), "f").limit(limit).collect()
+    return [r["f"] for r in best], [r["ratio"] for r in best]
+
+
+def fit(found: list[np.ndarray], toxic: np.ndarray, names: list[str], ratio: list[float], rounds: int = 600, l2: float = 0.02, l1: float = 0.0003) -> Model:
+    """Proximal gradient (FISTA) on the cumulative-link likelihood; theta_1 = theta_0 + exp(gap). found: each text's places in names."""
     y = np.asarray(toxic, dtype=np.int64)
     if not len(y) or not y.any():
         return Model({}, np.zeros(0), np.array([1e3, 1e3]))
-    # features of a text are found twice, so that those of all texts are never held at once
-    names, ratio = select_features(texts, y, max_features)
-    vocabulary = {f: i for i, f in enumerate(names)}
-    strong = np.array([ratio[f] >= 20 for f in names], dtype=bool)
-    found = [np.array(sorted(vocabulary[f] for f in features(t) if f in vocabulary), dtype=np.int64) for t in texts]
+    strong = np.array([r >= 20 for r in ratio], dtype=bool)
     rows, cols = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
     grade = np.array([0 if not t else 2 if strong[x].sum() >= SEVERE_HITS else 1 for x, t in zip(found, y, strict=True)])
     n, m = len(y), len(names)
@@ -120,15 +110,33 @@ def fit(texts: list[str | None], toxic: list[int], max_features: int = MAX_FEATU
     return Model({names[i]: j for j, i in enumerate(keep)}, w[keep], np.array([theta, theta + math.exp(gap)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
-    by_id = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__l")).agg(F.max("toxic").alias("__toxic"))
+def extract(batches):
+    """Each text's features in place of the text."""
+    for batch in batches:
+        own = pa.array([sorted(features(t)) for t in batch.column("__text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__toxic"), own], names=["__key", "__toxic", "__features"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
+    """The driver gets max_features names and, for each of max_labelled texts at most, places in them; no text."""
+    by_id = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__l")).agg((F.max("toxic") > 0).cast("int").alias("__toxic"))
     chosen = by_id.orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
-    own = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__text"))
-    rows = own.join(F.broadcast(chosen), F.col("__i") == F.col("__l")).select("__i", "__text", "__toxic").toArrow().to_pylist()
+    own = docs.select(F.col(id_col).alias("__i"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = own.join(F.broadcast(chosen), F.col("__i") == F.col("__l")).withColumn("__key", F.sha2("__text", 256))
+    # equal texts teach nothing twice, but make what they share look telling; the label of the least id holds
+    one = rows.groupBy("__key").agg(F.min_by("__toxic", "__i").alias("__toxic"), F.first("__text").alias("__text"))
+    found = keep(one.mapInArrow(extract, "__key string, __toxic int, __features array<string>"))
+    names, ratio = select_features(found, max_features)
+    place = {f: i for i, f in enumerate(names)}
+
+    def places(batches):
+        for batch in batches:
+            own = pa.array([sorted(place[f] for f in fs if f in place) for fs in batch.column("__features").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__toxic"), own], names=["__key", "__toxic", "__places"])
+
+    got = found.mapInArrow(places, "__key string, __toxic int, __places array<int>").toArrow().sort_by("__key")
     free(docs.sparkSession)
-    # equal texts teach nothing twice, but make what they share look telling
-    rows = list({r["__text"]: r for r in sorted(rows, key=lambda r: (r["__i"], r["__text"] or ""), reverse=True)}.values())
-    return fit([r["__text"] for r in rows], [int(r["__toxic"] > 0) for r in rows])
+    return fit([np.asarray(x.values, dtype=np.int64) for x in got.column("__places")], got.column("__toxic").to_numpy(), names, ratio)
 
 
 def scorer(model: Model, cut: float):
