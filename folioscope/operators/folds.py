@@ -2,30 +2,105 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections import deque
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Kinds that have an order field beside their content, and the kind whose lost texts are kept.
+ORDER_FIELDS = {"note": "sortIndex", "noteFolder": "sortIndex", "session": "sortIndex", "sessionBook": "position"}
+NOTE = "note"
+KEYS = ["user_id", "kind", "key"]
+OUT = "user_id long, kind string, key string, seq long, status string, copy string, data string, deleted boolean, updated_us long, moved_us long, device string"
+
+
+class Record(NamedTuple):
+    data: dict | None
+    deleted: bool
+    updated: int | None
+    moved: int | None
+    device: str
+
+
+def later(time: int | None, device: str, than: int | None, its: str) -> bool:
+    """A later clock, or the larger device at a tie; no time is before every time."""
+    return time is not None and (than is None or (time, device) > (than, its))
+
+
+def merge_change(kind: str, old: Record | None, old_seq: int, new: Record, seen: int | None) -> tuple[Record, str, dict | None]:
+    """The record after a change, what became of the change, and the text that lost, if it is kept.
+
+    Content and order field have a clock each, and share the device of whatever was written last. A text is kept when
+    two notes differ and the writer had not seen the stored one.
+    """
+    if old is None:
+        return new, "applied", None
+    field = ORDER_FIELDS.get(kind)
+    edits = later(new.updated, new.device, old.updated, old.device)
+    moves = field is not None and later(new.moved, new.device, old.moved, old.device)
+    words = [[(r.data or {}).get(k) or "" for k in ("title", "bodyText")] for r in (old, new)]
+    blind = kind == NOTE and old_seq > (seen or 0) and not (old.deleted or new.deleted) and words[0] != words[1]
+    lost = dict((old if edits else new).data or {}) or None if blind else None
+    status = ("applied" if edits or (moves and not lost) else "older_ignored") + ("_with_copy" if lost else "")
+    if not (edits or moves):
+        return old, status, lost
+    content, place = (new if edits else old), (new if moves else old)
+    data = None if content.deleted or content.data is None else dict(content.data)
+    if data is not None and field:
+        if field in (place.data or {}):
+            data[field] = place.data[field]
+        elif moves:
+            data.pop(field, None)
+    return Record(data, content.deleted, content.updated, (place if field else content).moved, new.device), status, lost
+
+
+def merge_changes(changes: DataFrame) -> DataFrame:
+    """One row for each change, by its seq: status, copy (JSON of a lost text) and the record after it.
+
+    changes: user_id, kind, key, seq, updated_us, moved_us, device, deleted, data (JSON), seen (the seq its writer had).
+    Merges do not commute, so a record's changes are folded in order of seq, in one task but batch by batch: what is held
+    is one record. Null deleted counts as false, null device as empty; null data is a record without data.
+    """
+
+    def whole(v) -> int | None:
+        return None if pd.isna(v) else int(v)
+
+    def text(d: dict | None) -> str | None:
+        return None if d is None else json.dumps(d, ensure_ascii=False, sort_keys=True)
+
+    def fold(batches):
+        at, state, state_seq = None, None, 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                key = tuple(None if pd.isna(v) else v for v in (r.user_id, r.kind, r.key))
+                if key != at:
+                    at, state = key, None
+                gone = False if pd.isna(r.deleted) else bool(r.deleted)
+                data = None if gone or not isinstance(r.data, str) else json.loads(r.data)
+                new = Record(data, gone, whole(r.updated_us), whole(r.moved_us), r.device if isinstance(r.device, str) else "")
+                before = state
+                state, status, lost = merge_change(r.kind, state, state_seq, new, whole(r.seen))
+                if state is not before:
+                    state_seq = int(r.seq)
+                out.append((*key, int(r.seq), status, text(lost), text(state.data), state.deleted, state.updated, state.moved, state.device))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"user_id": "Int64", "updated_us": "Int64", "moved_us": "Int64"})
+
+    rows = changes.select(*KEYS, "seq", "updated_us", "moved_us", "device", "deleted", "data", "seen")
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "seq").mapInPandas(fold, OUT)
+
+
 def sync_merge(events: DataFrame) -> DataFrame:
-    """Content by (time, device), newest wins; the order field by its own clock. One state for each user and kind."""
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        state, applied, ignored = None, 0, 0
-        for ts, device, value in zip(pdf["us"], pdf["device"], pdf["value"], strict=True):
-            if state is None or (ts, device) > state[:2]:
-                state = (ts, device, value)
-                applied += 1
-            else:
-                ignored += 1
-        return pd.DataFrame([(key[0], key[1], state[0], state[2], applied, ignored)], columns=["user_id", "event_type", "updated_us", "value", "applied", "ignored"])
-
-    e = events.select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_id") % 3).alias("device"), "value")
-    return e.groupBy("user_id", "event_type").applyInPandas(merge, "user_id long, event_type string, updated_us long, value double, applied long, ignored long")
+    """The merge over events as changes: clicks are notes, purchases folders of notes, all others bookmarks."""
+    us, n = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", NOTE).when(F.col("event_type") == "purchase", "noteFolder").otherwise("bookmark")
+    data = F.to_json(F.struct(F.col("event_type").alias("title"), F.col("props").alias("bodyText"), F.col("value").alias("sortIndex")))
+    return merge_changes(events.select("user_id", kind.alias("kind"), F.col("event_type").alias("key"), n.alias("seq"), us.alias("updated_us"), (us - n % 5 * 1_000_000).alias("moved_us"), (n % 3).cast("string").alias("device"), (n % 11 == 0).alias("deleted"), data.alias("data"), (n - n % 400).alias("seen")))
 
 
 def rate_fold(events: DataFrame, limit: int = 2, span: int = 3_600_000_000) -> DataFrame:
