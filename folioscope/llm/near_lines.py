@@ -11,7 +11,9 @@ the shorter line), so only lines that share a half with another line emit their
 The earliest line by (document id, line number) stays. A line goes if it repeats an earlier line or is within one
 edit of any earlier line. Variants are keyed by (hash, place of the edit): all lines of a key are within one edit of each
 other, so comparing each with the earliest of its key finds every line that has an earlier neighbour, and no pairs
-within a group are made. Lines under min_words words are never removed.
+within a group are made. Lines that repeat an earlier one go whatever their length. Lines under MIN_WORDS words have no
+neighbours: at few words one edit makes another line. A min_words that is given holds for both rules, as in the SQL,
+which leaves repeats of shorter lines. Empty lines stay.
 
 Defined cases: a null text has no lines and stays null; null ids come before all others, in an order that their texts'
 hashes give; repeated rows (same id and text) are told apart by nothing, so their lines stay in each of them; ids name
@@ -42,10 +44,15 @@ def key_of(id_col: str, text: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(text), 2))
 
 
+def least_words(min_words: int | None) -> tuple[int, int]:
+    """Words that a line must have to get neighbours, and to go as a repeat."""
+    return (MIN_WORDS, 1) if min_words is None else (min_words, min_words)
+
+
 def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """(d, i, line, lh) of the lines of min_words words or more; d is the key of the document."""
+    """(d, i, line, lh) of the lines of min_words words or more, and one at least; d is the key of the document."""
     rows = docs.select(key_of(id_col, text).alias("d"), F.posexplode(plain_lines(F.col(text))).alias("i", "line"))
-    return rows.filter(n_chars(F.col("line"), " ") >= min_words - 1).select("d", "i", "line", F.xxhash64("line").alias("lh"))
+    return rows.filter((F.col("line") != "") & (n_chars(F.col("line"), " ") >= min_words - 1)).select("d", "i", "line", F.xxhash64("line").alias("lh"))
 
 
 def half_keys(line: Column) -> Column:
@@ -77,12 +84,16 @@ def variants_of(line: Column, first: Column, second: Column) -> Column:
     return let(_count(line), run)
 
 
-def line_index(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """(d, i, lh, keys): the lines by hash, written once for all that follows."""
-    return keep(line_rows(docs, id_col, text, min_words).select("d", "i", "lh", half_keys(F.col("line")).alias("keys")))
+def line_index(docs: DataFrame, id_col: str, text: str, min_words: int | None) -> DataFrame:
+    """(d, i, lh, keys): the lines by hash, written once for all that follows. Lines too short for neighbours have no keys."""
+    near, exact = least_words(min_words)
+    keys = half_keys(F.col("line"))
+    if exact < near:
+        keys = F.when(n_chars(F.col("line"), " ") >= near - 1, keys)
+    return keep(line_rows(docs, id_col, text, exact).select("d", "i", "lh", keys.alias("keys")))
 
 
-def removed_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """(lh, first): line hashes that repeat or have an earlier neighbour. first is the occurrence that stays, else null."""
     keys = index.select("lh", F.posexplode("keys").alias("side", "k"))
     shared = keys.groupBy("k").agg(F.min("lh").alias("lo"), F.max("lh").alias("hi")).filter("lo < hi").select("k")
@@ -91,7 +102,7 @@ def removed_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", tex
     firsts = cut(index.groupBy("lh").agg(F.min(F.struct("d", "i")).alias("first"), F.count("*").alias("n")))
     # the words of each such line, from where it stands first
     places = hit.join(firsts, "lh").select("lh", "first", "in_first", "in_second")
-    lines = line_rows(docs, id_col, text, min_words).select(F.col("lh").alias("own"), "line", F.struct("d", "i").alias("ref"))
+    lines = line_rows(docs, id_col, text, least_words(min_words)[0]).select(F.col("lh").alias("own"), "line", F.struct("d", "i").alias("ref"))
     near = keep(lines.join(places, (F.col("own") == F.col("lh")) & F.col("ref").eqNullSafe(F.col("first"))).select("lh", "first", "line", "in_first", "in_second").dropDuplicates(["lh"]))
     variants = keep(near.select("lh", "first", F.inline(variants_of(F.col("line"), F.col("in_first"), F.col("in_second")))))
     # a line equal to a variant of another is within one edit of it, whatever the place
@@ -110,7 +121,7 @@ def removed_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", tex
     return firsts.join(gone, "lh", "left").filter("n > 1 OR near").select("lh", F.when(F.col("near"), F.lit(None)).otherwise(F.col("first")).alias("first"))
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """(d, gone): for each document that loses lines, their numbers."""
     index = line_index(docs, id_col, text, min_words)
     out = cut(removed_lines(docs, index, id_col, text, min_words).withColumnRenamed("lh", "lh2"))
@@ -118,7 +129,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wor
     return gone.groupBy(F.col("d").alias("__d")).agg(F.collect_set("i").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """docs with the lines taken out of the text. Documents without a word left, that had some, go."""
     gone = dropped(docs, id_col, text, min_words)
     out = docs.join(gone, key_of(id_col, text) == F.col("__d"), "left")
@@ -127,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     return out.filter(F.col("__gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (line numbers, comma-joined)."""
     gone = dropped(docs, id_col, text, min_words)
     own = docs.select(F.col(id_col).alias("doc_id"), key_of(id_col, text).alias("__k"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -163,6 +164,34 @@ def test_line_stage_tells_rows_without_id_apart(make):
     assert sorted((r.doc_id is None, r.n_removed) for r in near_lines.line_report(docs).collect()) == [(False, 1), (True, 0), (True, 1)]
 
 
+def test_line_stage_takes_repeats_of_short_lines(make):
+    long = "a line of eight words that is long"
+    docs = make([(1, f"All rights reserved.\n\n{long}", "s"), (2, f"one\n\nall  rights reserved.\n{long}er", "s"), (3, "ALL RIGHTS RESERVED.\none more\nOne", "s"), (4, "one", "s")])
+    assert {r.doc_id: r.removed for r in near_lines.line_report(docs).collect()} == {1: "", 2: "2,3", 3: "0,2", 4: "0"}
+    left = {r.doc_id: r.text for r in near_lines.dedup_lines(docs).collect()}
+    assert left == {1: f"All rights reserved.\n\n{long}", 2: "one\n", 3: "one more"}
+
+
+def test_line_report_of_testdata(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.doc_id: r.removed for r in near_lines.line_report(documents).collect()}
+    given = {r[0]: r[3] for r in duckdb.sql(near_lines.SQL.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()}
+    assert {r.doc_id: r.removed for r in near_lines.line_report(documents, min_words=near_lines.MIN_WORDS).collect()} == given
+    # beyond the SQL: the lines under MIN_WORDS words that stand earlier too, and no others
+    seen, more = set(), 0
+    for r in sorted(documents.collect(), key=lambda r: r.doc_id):
+        want = {int(i) for i in given[r.doc_id].split(",") if i}
+        for i, line in enumerate((r.text or "").lower().split("\n")):
+            line = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if line and line.count(" ") < near_lines.MIN_WORDS - 1:
+                if line in seen:
+                    want.add(i)
+                    more += 1
+                seen.add(line)
+        assert whole[r.doc_id] == ",".join(map(str, sorted(want))), r.doc_id
+    assert more
+
+
 def brute_spans(texts, length):
     n = Counter()
     data = [(t or "").encode() for t in texts]
