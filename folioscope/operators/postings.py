@@ -33,3 +33,9 @@ def page_index(docs: DataFrame) -> DataFrame:
 def postings(index: DataFrame) -> DataFrame:
     """(term, doc_id, positions), a row for each term of each page."""
     return index.select("doc_id", F.inline("postings")).select("term", "doc_id", "positions")
+
+
+def fold_index(index: DataFrame, of: str = "éèê", to: str = "eee") -> DataFrame:
+    """index with the letters of `of` in its terms written as those of `to`; terms of a page that become equal merge their positions."""
+    pairs = F.transform("postings", lambda p: F.struct(F.translate(p["term"], of, to).alias("term"), p["positions"].alias("at")))
+    return index.select("doc_id", _runs(pairs, lambda ats: F.when(F.size(ats) == 1, F.get(ats, F.lit(0))).otherwise(F.sort_array(F.flatten(ats)))).alias("postings"))

@@ -59,6 +59,7 @@ QUERIES |= {
     "point_id": lambda spark, d: search.point_ids(read(spark, d, "documents")),
     "chunk_pages": lambda spark, d: search.chunks(read(spark, d, "documents")),
     "index_postings": lambda spark, d: postings.postings(postings.page_index(read(spark, d, "documents"))),
+    "fold_postings": lambda spark, d: postings.postings(postings.fold_index(postings.page_index(read(spark, d, "documents")))),
     "sync_merge": lambda spark, d: folds.sync_merge(read(spark, d, "events")),
     "rate_fold": lambda spark, d: folds.rate_fold(read(spark, d, "events")),
     "lis_chain": lambda spark, d: folds.lis_chain(read(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("x"), F.col("value").alias("y"))),
