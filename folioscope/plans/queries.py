@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import folds, postings, search, vectors
+from ..operators import folds, postings, search, vectors, windows
 from ..sources.tables import read, views
 from . import books, catalog
 from .dialect import Duck, Spark
@@ -60,6 +60,7 @@ QUERIES |= {
     "chunk_pages": lambda spark, d: search.chunks(read(spark, d, "documents")),
     "index_postings": lambda spark, d: postings.postings(postings.page_index(read(spark, d, "documents"))),
     "fold_postings": lambda spark, d: postings.postings(postings.fold_index(postings.page_index(read(spark, d, "documents")))),
+    "neighbour_median": lambda spark, d: windows.neighbour_median(read(spark, d, "documents")),
     "sync_merge": lambda spark, d: folds.sync_merge(read(spark, d, "events")),
     "rate_fold": lambda spark, d: folds.rate_fold(read(spark, d, "events")),
     "lis_chain": lambda spark, d: folds.lis_chain(read(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("x"), F.col("value").alias("y"))),
