@@ -25,13 +25,23 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (n_chars(x, " ") + 1).alias("n")))
 
 
-def repeat_words(w: Column) -> Column:
+def repeat_words(w: Column, bits: int = 21) -> Column:
     """Words that lie in a three-word window found twice or more in the array w.
 
     Windows are ordered as (upper bits of the hash | position) in one array of longs; equal neighbours are told by
-    their full hashes. Positions are then merged, so the cost is that of one sort for each document.
+    their full hashes. Positions are then merged, so the cost is that of one sort for each document. A position has
+    `bits` bits there; texts of more than 2^bits windows are ordered as structs of (hash, position), which have no limit.
     """
-    bits = 21
+
+    def paired(h: Column) -> Column:
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return let(
+            order,
+            lambda o: let(
+                F.struct(o["h"].alias("h"), o["at"].alias("at")),
+                lambda q: F.sort_array(F.filter(F.transform(q["at"], lambda x, i: F.when(F.get(q["h"], i).eqNullSafe(F.get(q["h"], i + 1)) | ((i > 0) & F.get(q["h"], i).eqNullSafe(F.get(q["h"], i - 1))), x)), lambda x: x.isNotNull())),
+            ),
+        )
 
     def tagged(h: Column) -> Column:
         order = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, bits), bits).bitwiseOR(i.cast("long"))))
@@ -50,7 +60,7 @@ def repeat_words(w: Column) -> Column:
 
     windows = F.transform(w, lambda x, i: F.when(i < F.size(w) - 2, F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
     whole = F.when(F.size(w) < 3, F.array().cast("array<long>")).otherwise(F.slice(windows, F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))))
-    return let(whole, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(tagged(h), covered)))
+    return let(whole, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.when(F.size(h) > 1 << bits, paired(h)).otherwise(tagged(h)), covered)))
 
 
 def base_columns(text: Column) -> dict[str, Column]:

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import line_rules, mixing, packing, pii, queries, toxicity, warc
+from folioscope.llm.common import let
 
 from .conftest import prose
 
@@ -29,6 +31,28 @@ def test_base_counts_and_rules(make, awkward):
     assert got == want
 
 
+def repeated(w):
+    n = Counter(zip(w, w[1:], w[2:]))
+    return len({i + j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(3)})
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5, 21])
+def test_repeated_windows_at_any_length(spark, bits):
+    r = random.Random(6)
+    texts = [[r.choice("abcde") for _ in range(n)] for n in (0, 2, 3, 4, 5, 9, 10, 11, 33, 34, 35, 90)] + [prose(4, 40).split() * 2]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "i int, w array<string>")
+    got = {x.i: x.n for x in df.select("i", line_rules.repeat_words(df["w"], bits=bits).alias("n")).collect()}
+    assert got == {i: repeated(w) for i, w in enumerate(texts)}
+
+
+def test_windows_past_the_packed_positions_count(spark):
+    n = (1 << 21) + 2
+    # different words, but for a passage that stands at the end alone, twice
+    own = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string"))
+    got = spark.range(1).select(let(F.concat(own, F.split(F.lit("p q r s p q r s"), " ")), lambda w: line_rules.repeat_words(w)).alias("n")).first()
+    assert got.n == 8
+
+
 def test_frequent_lines_go_and_depleted_documents_are_rejected(make):
     licence = prose(7, 60)
     rows = [(i, licence + "\n" + prose(100 + i, 20 if i < 5 else 200), "h") for i in range(30)] + [(99, licence + "\n" + prose(1, 20), "other")]
