@@ -1,9 +1,11 @@
 """Exact dedup with an extendible-hash index on shared files.
 
 Every text has a 64-bit key, the head of its SHA-256. The directory maps the leading bits of a key to a bucket. It
-starts with one bucket and doubles while a bucket holds more entries than its capacity: the entries of overfull buckets
-are counted at one bit more, the others keep their depth. Entries with one key cannot be split; they chain, on pages of
-bounded size. Only keys that occur twice or more carry their text to the index.
+starts with one bucket, stays so up to CAPACITY repeated entries, and grows while a bucket holds more entries than its
+capacity: the entries of overfull buckets are counted at four bits more, the others keep their depth. Entries with one
+key cannot be split; they chain. A key of 2 x PAGE entries or more is spread over pages of about PAGE; the others of a
+bucket share its page 0, which has no bound and is dealt out by 24 bits of the key. Only keys that occur twice or more
+carry their text to the index.
 
 The index is a table of pages in the shared folder, sorted by bucket and page. Owner tasks each process a range of it,
 one page at a time: a page's entries chain by key, and entries of a chain are compared byte by byte. A second round
