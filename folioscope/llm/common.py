@@ -24,12 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
-    return found or tempfile.mkdtemp(prefix="folioscope-")
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="folioscope-")
 
 
 def free(spark: SparkSession) -> None:
@@ -68,6 +73,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows in one column `row`, beside keys, so that no column of docs can clash with a name of ours. `row.*` opens them."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def has_any(text: Column, parts: list[str]) -> Column:
     out = F.lit(False)
     for p in parts:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, boxed, cut
 
 WEIGHTS = (3, 1, 2)
 SPREAD = 64
@@ -54,8 +54,8 @@ def targets(sizes: DataFrame, percent: int = 150, cap: int = 2, weights: tuple[i
     return t.select("source", "source_size", "docs", "rank", F.when(F.col("free").isNull() | below, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies, and the columns in keep."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, and the columns in keep. seed moves the offsets."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[F.col(k) for k in keep])
     cls, sub = cell_of(F.col("size"), F.col("doc_id"))
     sized = cut(sized.withColumn("cls", cls).withColumn("sub", sub))
@@ -66,27 +66,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     own = sized.withColumn("at", F.row_number().over(Window.partitionBy("source", "cls", "sub").orderBy("doc_id", "size", *keep)))
     rows = own.join(info, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cls") == F.col("cls2")) & (F.col("sub") == F.col("sub2")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = (F.col("rank") + SEED) * STEP % 1000000 / F.lit(1000000.0)
+    offset = (F.col("rank") + seed) * STEP % 1000000 / F.lit(1000000.0)
     upto = lambda n: F.floor(n * rate + offset)
     n = F.col("before") + F.col("at")
     return rows.select("doc_id", "source", "size", "source_size", "target", (upto(n) - upto(n - 1)).cast("long").alias("copies"), *keep)
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """docs itself, each row as often as the mix takes it. Rows with the same id, source and text are told apart by number."""
-    by = Window.partitionBy(id_col, source, "__tag").orderBy(F.lit(0))
     tag = F.xxhash64(text)
-    taken = mix(docs.withColumn("__tag", tag), id_col, text, source, ("__tag",))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), tag.alias("tag"))
+    taken = mix(sized, "id", "text", "source", ("tag",), seed)
     # equal rows are interchangeable, so their copies are summed and dealt out by number
-    total = taken.groupBy("doc_id", "source", "__tag").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    total = total.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__tag").alias("__t"), "__copies", "__rows")
-    out = docs.join(total, F.col(id_col).eqNullSafe(F.col("__d")) & F.col(source).eqNullSafe(F.col("__s")) & (tag == F.col("__t")))
-    del by
-    nth = F.row_number().over(Window.partitionBy("__d", "__s", "__t").orderBy(F.lit(0)))
-    single = out.filter("__rows = 1").withColumn("__n", F.col("__copies"))
-    several = out.filter("__rows > 1").withColumn("__i", nth).withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__i")
-    rows = single.unionByName(several).filter("__n > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(docs.columns)
+    total = taken.groupBy("doc_id", "source", "tag").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0")
+    total = total.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tag").alias("t"), "copies", "n")
+    own = boxed(docs, id=F.col(id_col), source=F.col(source), tag=tag)
+    out = own.join(total, F.col("id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tag") == F.col("t")))
+    nth = F.row_number().over(Window.partitionBy("d", "s", "t").orderBy(F.lit(0)))
+    single = out.filter("n = 1").select("row", F.col("copies").alias("times"))
+    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("i") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    several = out.filter("n > 1").withColumn("i", nth).select("row", share.alias("times"))
+    rows = single.unionByName(several).filter("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 SQL = r"""
