@@ -5,7 +5,8 @@ document of a host that holds it. Lines of more documents than the host's limit
 more than a given share of its words is rejected. Everything is DataFrame expressions.
 
 Defined cases: a null text is empty and fails the base rule; a null host is a host of its own; repeated rows are
-documents of their own; an empty table gives an empty result; columns other than those named are not looked at.
+documents of their own; texts of any length are read whole, one text in one task; an empty table gives an empty result;
+columns other than those named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, n_chars, plain_lines, words
+from .common import WORD, boxed, keep, let, n_chars, plain_lines, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -30,7 +31,8 @@ def repeat_words(w: Column, bits: int = 21) -> Column:
 
     Windows are ordered as (upper bits of the hash | position) in one array of longs; equal neighbours are told by
     their full hashes. Positions are then merged, so the cost is that of one sort for each document. A position has
-    `bits` bits there; texts of more than 2^bits windows are ordered as structs of (hash, position), which have no limit.
+    `bits` bits there. Texts of more than 2^bits windows, and texts in which different windows agree in the upper bits,
+    are ordered as structs of (hash, position), which have no limit.
     """
 
     def paired(h: Column) -> Column:
@@ -46,11 +48,13 @@ def repeat_words(w: Column, bits: int = 21) -> Column:
     def tagged(h: Column) -> Column:
         order = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, bits), bits).bitwiseOR(i.cast("long"))))
         at = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        same = lambda g, i: g[i].eqNullSafe(F.get(g, i + 1)) | ((i > 0) & g[i].eqNullSafe(F.get(g, i - 1)))
+        clash = lambda g: F.exists(F.transform(g, lambda x, i: (x != F.get(g, i + 1)) & (F.shiftright(x, bits) == F.shiftright(F.get(g, i + 1), bits))), lambda x: x)
         return let(
             F.transform(order, at),
             lambda p: let(
                 F.transform(p, lambda x: F.get(h, x)),
-                lambda g: F.sort_array(F.filter(F.transform(p, lambda x, i: F.when(g[i].eqNullSafe(F.get(g, i + 1)) | ((i > 0) & g[i].eqNullSafe(F.get(g, i - 1))), x)), lambda x: x.isNotNull())),
+                lambda g: F.when(clash(g), paired(h)).otherwise(F.sort_array(F.filter(F.transform(p, lambda x, i: F.when(same(g, i), x)), lambda x: x.isNotNull()))),
             ),
         )
 
@@ -75,28 +79,35 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.02) -> DataFrame:
+def hashed_lines(docs: DataFrame, text: str = "text", host: str = "source", **more: Column) -> DataFrame:
+    """(host, lines, more): the lines of each document as (hash, words), written once for all that counts them."""
+    return keep(docs.select(F.col(host).alias("host"), line_hashes(F.col(text)).alias("lines"), *[c.alias(k) for k, c in more.items()]))
+
+
+def frequent_lines(hashed: DataFrame, min_docs: int = 20, share: float = 0.02) -> DataFrame:
     """(host, h, n_docs) of the lines in more than max(min_docs, share of the host's documents) documents.
 
     Counts are pre-aggregated on the map side; a hot host or line sends one row for each task. The rows are bounded by
     (lines of a document) / share for each host.
     """
-    own = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.filter(plain_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("hs"))
-    sizes = docs.groupBy(F.col(host).alias("of")).agg(F.count("*").alias("docs"))
-    counts = own.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    own = hashed.select("host", F.explode(F.array_distinct(F.col("lines")["h"])).alias("h"))
+    sizes = hashed.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("docs"))
+    counts = own.groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     return counts.join(sizes, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n_docs") > F.col("docs") * share).select("host", "h", "n_docs")
 
 
 def line_frequency(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.02, lost: float = 0.5) -> DataFrame:
     """One row for each document: id, base counts, base_failed, words in removed lines, kept."""
+    tag = F.xxhash64(text)
     base = base_columns(F.col(text))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(text).alias("tag"), *[c.alias(k) for k, c in base.items()])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), tag.alias("tag"), *[c.alias(k) for k, c in base.items()])
     rows = rows.select("doc_id", "host", "tag", F.col("counted.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("counted.n_repeat_words").alias("n_repeat_words"))
-    lines = docs.select(F.col(id_col).alias("d"), F.col(host).alias("s"), F.xxhash64(text).alias("t"), F.explode(line_hashes(F.col(text))).alias("line")).select("d", "s", "t", F.col("line.h").alias("lh"), F.col("line.n").alias("n"))
-    often = frequent_lines(docs, text, host, min_docs, share)
+    hashed = hashed_lines(docs, text, host, d=F.col(id_col), t=tag)
+    often = frequent_lines(hashed, min_docs, share)
+    lines = hashed.select("d", F.col("host").alias("s"), "t", F.explode("lines").alias("line")).select("d", "s", "t", F.col("line.h").alias("lh"), F.col("line.n").alias("n"))
     gone = lines.join(often, (F.col("lh") == F.col("h")) & F.col("s").eqNullSafe(F.col("host"))).groupBy("d", "s", "t").agg(F.sum("n").alias("gone"))
     # repeated rows are equal in d, s and t; the sum then holds each of them once, so it is shared out by their number
-    same = rows.groupBy(F.col("doc_id").alias("d2"), F.col("host").alias("s2"), F.col("tag").alias("t2")).agg(F.count("*").alias("times")).filter("times > 1")
+    same = hashed.groupBy(F.col("d").alias("d2"), F.col("host").alias("s2"), F.col("t").alias("t2")).agg(F.count("*").alias("times")).filter("times > 1")
     gone = gone.join(same, F.col("d").eqNullSafe(F.col("d2")) & F.col("s").eqNullSafe(F.col("s2")) & F.col("t").eqNullSafe(F.col("t2")), "left").select("d", "s", "t", (F.col("gone") / F.coalesce("times", F.lit(1))).cast("long").alias("gone"))
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("s")) & F.col("tag").eqNullSafe(F.col("t")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -106,12 +117,12 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def clean_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.02) -> DataFrame:
     """docs without the lines that are over their host's limit; other columns stay as they are."""
-    often = frequent_lines(docs, text, host, min_docs, share).groupBy("host").agg(F.collect_set("h").alias("__often"))
-    out = docs.join(often.withColumnRenamed("host", "__host"), F.col(host).eqNullSafe(F.col("__host")), "left")
+    often = frequent_lines(hashed_lines(docs, text, host), min_docs, share).groupBy("host").agg(F.collect_set("h").alias("often"))
+    out = boxed(docs, of=F.col(host)).join(often, F.col("of").eqNullSafe(F.col("host")), "left")
     plain = lambda x: F.xxhash64(F.array_join(words(F.lower(x)), " "))
     none = F.array().cast("array<long>")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("__often", none), plain(x))), "\n")
-    return out.withColumn(text, kept).drop("__host", "__often")
+    kept = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x: ~F.array_contains(F.coalesce("often", none), plain(x))), "\n")
+    return out.select(*[kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same rows by counting whole lines and windows.
