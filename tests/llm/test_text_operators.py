@@ -36,7 +36,7 @@ def repeated(w):
     return len({i + j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(3)})
 
 
-@pytest.mark.parametrize("bits", [1, 3, 5, 21])
+@pytest.mark.parametrize("bits", [1, 3, 5, 21, 60, 62])
 def test_repeated_windows_at_any_length(spark, bits):
     r = random.Random(6)
     texts = [[r.choice("abcde") for _ in range(n)] for n in (0, 2, 3, 4, 5, 9, 10, 11, 33, 34, 35, 90)] + [prose(4, 40).split() * 2]
@@ -87,6 +87,7 @@ def test_mix_takes_each_target(make, awkward):
         assert math.isclose(target[k], 2 * size[k] if k in full else left * weight[k] / open_)
         if str(k).startswith(("s", "hot")):
             assert abs(taken[k] - target[k]) < 0.05 * target[k]
+    assert {r.copies for r in mixing.mix(make(rows), seed=3).collect()} <= {0, 1, 2}
     again = mixing.mix(make(rows).repartition(7)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert mixing.mix(make(rows).limit(0)).collect() == []
@@ -181,6 +182,60 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.severity <= 2 for r in got)
 
 
+def ordinal_loss(found, grade, w, theta, l2, l1):
+    """Mean of -log P(grade) and the penalties, one text at a time."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    total = 0.0
+    for x, g in zip(found, grade):
+        above = [1.0, *(sig(sum(w[i] for i in x) - t) for t in theta), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(grade) + l2 / 2 / len(grade) * sum(v * v for v in w) + l1 * sum(abs(v) for v in w)
+
+
+def test_fit_against_plain_search():
+    found = [np.array(x, dtype=np.int64) for x in ([], [0], [0], [0, 1], [0, 1], [1], [1, 2], [1, 2], [0, 1, 2], [0, 1, 2], [2], [0, 2], [])]
+    grade = np.array([0, 0, 1, 0, 1, 1, 2, 1, 2, 2, 0, 1, 0])
+    model = toxicity.fit(found, grade, ["a", "b", "c"], rounds=6000, l2=0.3, l1=0.001)
+    w = [float(model.weights[model.vocabulary[k]]) if k in model.vocabulary else 0.0 for k in "abc"]
+    mine = ordinal_loss(found, grade, w, model.thetas, 0.3, 0.001)
+    # steps of each coordinate that shrink as none helps any more
+    at, step = [0.0, 0.0, 0.0, 0.5, 1.5], 1.0
+    value = lambda v: ordinal_loss(found, grade, v[:3], v[3:], 0.3, 0.001) if v[3] < v[4] else math.inf
+    best = value(at)
+    while step > 1e-5:
+        moves = [[*at[:i], at[i] + s, *at[i + 1 :]] for i in range(5) for s in (step, -step)]
+        new = min(moves, key=value)
+        if value(new) < best - 1e-12:
+            at, best = new, value(new)
+        else:
+            step /= 2
+    assert mine <= best + 2e-3
+    assert np.allclose([*w, *model.thetas], at, atol=0.15)
+
+
+def test_scores_against_plain_loop(make, awkward):
+    model = toxicity.Model({"kara": 0, "lodo*": 1, "mite*": 2, "kado": 3}, np.array([1.5, -0.5, 0.8, 2.0]), np.array([0.4, 2.1]))
+    rows = [(10 + i, prose(i, 30), "s") for i in range(20)] + awkward
+    got = Counter((r.doc_id, round(r.severity, 9), r.grade, r.toxic) for r in toxicity.score_documents(make(rows), model).collect())
+    want, left = Counter(), Counter()
+    for d, t, _ in rows:
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        names = words | {w[:n] + "*" for w in words for n in (4, 5) if len(w) > n}
+        z = sum(model.weights[i] for f, i in model.vocabulary.items() if f in names)
+        p = [1 / (1 + math.exp(x - z)) for x in model.thetas]
+        want[d, round(sum(p), 9), int(np.argmax([1 - p[0], p[0] - p[1], p[1]])), sum(p) >= toxicity.CUT] += 1
+        left[d, t] += sum(p) < toxicity.CUT
+    assert got == want
+    assert Counter((r.doc_id, r.text) for r in toxicity.drop_toxic(make(rows), model).collect()) == +left
+
+
+def test_given_grades_are_learned(make, spark):
+    bad = [(i, prose(i, 40) + " vile" * (i % 3 > 0) + " cruel" * (i % 3 > 1), "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), i % 3) for i in range(120)], "doc_id long, toxic int, grade int")
+    got = {r.doc_id: r.grade for r in toxicity.score_documents(make(bad), toxicity.train(make(bad), labels)).collect()}
+    assert sum(got[i] == i % 3 for i in range(120)) >= 110
+
+
 def test_toxicity_awkward_rows(make, awkward, spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (5, 0), (6, 1), (6, 0), (77, 1)], "doc_id long, toxic int")
     docs = make(awkward)
@@ -255,6 +310,27 @@ def test_revisits(spark, stretch):
     assert got["b"].headers == {"ETag": "e1", "Content-Length": "9", "date": "d2"}
 
 
+def test_repeated_records_and_digests(spark):
+    full = ("a", "http://x.com/p", 10, "response", "e1", None, "g", {"date": "d1", "x": "1"})
+    rows = [full, full, ("a", "http://x.com/p", 9, "response", "e0", None, "g0", {"date": "d0"}), ("b", "x.com/p", 20, "revisit", "e1", None, None, {"date": "d2", "x": "9"})] + [("b", "x.com/p", 20, "revisit", "e1", None, None, {"date": "d2", "x": "9"})]
+    rows += [("n", None, 1, "revisit", None, None, None, None)] * 3 + [(None, "x.com/p", 21, "revisit", None, None, None, None)]
+    got = warc.resolve(spark.createDataFrame([(*r, "p", 1) for r in rows], RECORD)).collect()
+    assert len(got) == len(rows)
+    assert [(r.refers_to, r.headers) for r in got if r.record_id == "b"] == [("a", {"x": "1", "date": "d2"})] * 2
+    # a revisit told by its digest needs that digest, and brings headers of its own
+    told = [(*full, None), ("b", "x.com/p", 20, "revisit", "e9", None, "g", {"x": "9"}, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("c", "x.com/p", 21, "revisit", "e1", None, None, {}, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    schema = "record_id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, profile string"
+    got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(told, schema)).collect()}
+    assert got["b"].status == "resolved" and got["b"].headers == {"date": "d1", "x": "9"} and got["c"].status == "mismatch"
+    assert warc.resolve(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/c", "x"), (1, "http://a.b/c", "x"), (2, "http://a.b/c", "x"), (None, None, None)], "page_id long, url string, html string")
+    got = warc.revisit_report(pages).collect()
+    assert len(got) == 12 and Counter(r.record_id for r in got)[5] == 2
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nETag: e1\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
     recs = [({"WARC-Type": "response", "WARC-Record-ID": "<1>", "WARC-Target-URI": "http://a.b/", "WARC-Date": "2020-01-01T00:00:00Z"}, http), ({"WARC-Type": "revisit", "WARC-Record-ID": "<2>", "WARC-Target-URI": "http://a.b", "WARC-Date": "2020-01-02T00:00:00Z"}, b"HTTP/1.1 304 Not Modified\r\nETag: e1\r\nDate: z\r\n\r\n"), ({"WARC-Type": "warcinfo"}, b"")]
