@@ -176,11 +176,12 @@ def test_line_report_of_testdata(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     whole = {r.doc_id: r.removed for r in near_lines.line_report(documents).collect()}
     given = {r[0]: r[3] for r in duckdb.sql(near_lines.SQL.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()}
-    assert {r.doc_id: r.removed for r in near_lines.line_report(documents, min_words=near_lines.MIN_WORDS).collect()} == given
-    # beyond the SQL: the lines under MIN_WORDS words that stand earlier too, and no others
+    assert whole == given
+    # what min_words leaves are the lines under it that stand earlier too, and no others
+    long = {r.doc_id: r.removed for r in near_lines.line_report(documents, min_words=near_lines.MIN_WORDS).collect()}
     seen, more = set(), 0
     for r in sorted(documents.collect(), key=lambda r: r.doc_id):
-        want = {int(i) for i in given[r.doc_id].split(",") if i}
+        want = {int(i) for i in long[r.doc_id].split(",") if i}
         for i, line in enumerate((r.text or "").lower().split("\n")):
             line = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
             if line and line.count(" ") < near_lines.MIN_WORDS - 1:
@@ -192,6 +193,21 @@ def test_line_report_of_testdata(spark, sf):
     assert more
 
 
+def test_line_stage_keeps_what_stands_once(spark):
+    a, b, c = prose(1, 20), prose(2, 20), prose(3, 20) + "\n\nshort"
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 5), (7, c, 6), (9, c + "\nmore", 7), (None, c, 8), (8, None, 9), (8, None, 10)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, __gone int, d string, left int").repartition(3)
+    left = near_lines.dedup_lines(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, a), (5, b), (None, c), (9, "\nmore"), (8, None)} and len(got) == 6
+    # without the row of null id, one of the three equal rows keeps its lines
+    got = near_lines.dedup_lines(docs.filter("doc_id IS NOT NULL")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (5, b), (7, c), (9, "\nmore"), (8, None), (8, None)])
+    report = Counter((r.doc_id, r.n_lines, r.n_removed) for r in near_lines.line_report(docs).collect())
+    assert report == Counter({(1, 1, 0): 1, (5, 1, 1): 1, (5, 1, 0): 1, (7, 3, 2): 3, (9, 4, 2): 1, (None, 3, 0): 1, (8, 0, 0): 2})
+
+
 def brute_spans(texts, length):
     n = Counter()
     data = [(t or "").encode() for t in texts]
