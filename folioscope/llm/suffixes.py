@@ -20,8 +20,8 @@ strings of `length` bytes always meet:
    distance from the anchor, so that those of a group share more bytes, down to single strings, which need no order. So
    no group's size is bounded by a cap, and none is left out.
 
-Repeated starts are then mapped back through (hash, context) to the documents, by a digest of the text, as what goes
-depends on the content alone.
+Repeated starts are then mapped back through (hash, context) to the documents, by a digest of the text of 128 bits (two
+longs, doc and doc2), as what goes depends on the content alone.
 
 Defined cases: a null text is empty; texts under `length` bytes lose nothing; repeated rows, and rows with equal texts,
 are different places, so they remove each other; ids are only passed on; an empty table gives no rows.
@@ -122,7 +122,6 @@ def repeated_starts(parts: list[bytes], counts: list[int], length: int) -> list[
 
     Parts are different; a part's count is how often it occurs. One suffix array over all, parts ended by a separator.
     """
-    line = b"".join(parts)
     text: list[int] = []
     owner = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts]).tolist()
     starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).tolist()
@@ -131,7 +130,6 @@ def repeated_starts(parts: list[bytes], counts: list[int], length: int) -> list[
         text += [b + 2 for b in p]
         text.append(1)
         raw += p + b"\x00"
-    del line
     last = [starts[i + 1] - 1 - length for i in range(len(parts))]
     hit = [False] * len(text)
     previous = -1
@@ -187,7 +185,7 @@ def anchors_of(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
     return at, lo, hi, h[at], mixed(p.of(lo, hi) + (at - lo).astype(np.uint64))
 
 
-ANCHORS = "doc long, place long, h long, ctx long"
+ANCHORS = "doc long, doc2 long, place long, h long, ctx long"
 
 
 def packed_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -198,14 +196,14 @@ def packed_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def anchor_rows(length: int, k: int):
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc, doc2, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if len(data) >= length:
                     at, lo, hi, h, c = anchors_of(data, length, k)
-                    for x, y in zip(out, (np.full(len(at), key), packed_place(at, lo, hi), h.view(np.int64), c.view(np.int64)), strict=True):
+                    for x, y in zip(out, (np.full(len(at), doc), np.full(len(at), doc2), packed_place(at, lo, hi), h.view(np.int64), c.view(np.int64)), strict=True):
                         x.append(y)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "place", "h", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "doc2", "place", "h", "ctx"])
 
     return run
 
@@ -348,23 +346,28 @@ def repeated_in(sides: DataFrame, length: int, group: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP, texts_too: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, with texts_too)."""
     t = F.coalesce(F.col(text), F.lit("")).cast("string")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.md5(t)).alias("doc"), t.alias("text"))
-    a = keep(own.select("doc", "text").mapInArrow(anchor_rows(length, k), ANCHORS))
+    digest = F.md5(t)
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    half = lambda at: F.shiftleft(part(at), 32).bitwiseOR(part(at + 8))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), half(1).alias("doc"), half(17).alias("doc2"), t.alias("text"))
+    text_of = [F.col("doc").alias("of"), F.col("doc2").alias("of2")]
+    same_text = (F.col("doc") == F.col("of")) & (F.col("doc2") == F.col("of2"))
+    a = keep(own.select("doc", "doc2", "text").mapInArrow(anchor_rows(length, k), ANCHORS))
     by_h = a.groupBy("h").agg(F.count("*").alias("m"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("m > 1")
     # written first: a join on what an aggregation has just dealt out could not split a hot hash
     several = cut(by_h.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     shared = keep(a.join(several, "h"))
     # contexts under a hash with several contexts: one place stands for all of them
-    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")).select("h", "ctx", "n", "one.*")
-    wanted = ctxs.groupBy("doc").agg(F.collect_list(F.struct("place", "h", "ctx", "n")).alias("found")).withColumnRenamed("doc", "of")
+    ctxs = shared.filter("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "doc2", "place")).alias("one")).select("h", "ctx", "n", "one.*")
+    wanted = ctxs.groupBy(*text_of).agg(F.collect_list(F.struct("place", "h", "ctx", "n")).alias("found"))
     # of equal texts the row of least id brings the bytes
-    least = own.groupBy("doc").agg(F.min("doc_id").alias("least"))
-    wanted = wanted.join(least, F.col("of") == F.col("doc")).select("of", "least", "found")
-    sides = keep(own.join(wanted, (F.col("doc") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "found").mapInArrow(side_rows(length, k), SIDES))
+    least = own.groupBy("doc", "doc2").agg(F.min("doc_id").alias("least"))
+    wanted = wanted.join(least, same_text).select("of", "of2", "least", "found")
+    sides = keep(own.join(wanted, same_text & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "found").mapInArrow(side_rows(length, k), SIDES))
     ctx_cuts = repeated_in(sides, length, group).groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut"))
-    mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "place", "cut")
+    mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "doc2", "place", "cut")
     lo, hi = F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
-    own_places = shared.filter("NOT mixed").select("doc", "place", F.array(-lo, hi).cast("array<int>").alias("cut"))
-    places = mixed_places.unionByName(own_places).distinct().groupBy("doc").agg(F.flatten(F.collect_list(F.transform("cut", lambda x: x + F.shiftright("place", 24)))).alias("found")).withColumnRenamed("doc", "of")
-    out = own.join(places, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "found")
+    own_places = shared.filter("NOT mixed").select("doc", "doc2", "place", F.array(-lo, hi).cast("array<int>").alias("cut"))
+    places = mixed_places.unionByName(own_places).distinct().groupBy(*text_of).agg(F.flatten(F.collect_list(F.transform("cut", lambda x: x + F.shiftright("place", 24)))).alias("found"))
+    out = own.join(places, same_text, "left").select("doc_id", "text", "found")
     return out.mapInArrow(remaining(texts_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
