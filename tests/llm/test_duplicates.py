@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from folioscope.llm import exact_dedup, jaccard, near_lines, suffixes
@@ -75,9 +76,10 @@ def test_keep_one(make, awkward):
     assert jaccard.keep_one(docs.limit(0)).collect() == []
 
 
-def test_exact_groups_with_colliding_keys(make, awkward):
-    rows = awkward + [(100 + i, f"t{i % 7}", "s") for i in range(60)]
-    for bits, capacity, page in ((60, 200_000, 2000), (4, 5, 3), (1, 2, 2)):
+def test_exact_groups_with_colliding_keys(make, awkward, monkeypatch):
+    rows = awkward + [(100 + i, f"t{i % 7}", "s") for i in range(60)] + [(900, "hot", "s")] * 150 + [(None, "hot", "s")] * 150 + [(1000 + i, "hot", "s") for i in range(150)]
+    monkeypatch.setattr(exact_dedup, "FAN", 5)
+    for bits, capacity, page in ((60, 200_000, 2000), (60, 2, 3), (4, 5, 3), (1, 2, 2)):
         got = exact_dedup.exact_groups(make(rows), bits=bits, capacity=capacity, page=page).collect()
         by = defaultdict(list)
         for d, t, _ in rows:
@@ -92,10 +94,23 @@ def test_exact_groups_with_colliding_keys(make, awkward):
 
 def test_directory_doubles_only_overfull_buckets(spark):
     keys = spark.createDataFrame([(i, 1) for i in range(64)] + [(64 + 8 * i, 12) for i in range(2)], "key long, n long")
-    dirs = exact_dedup.directory(keys, 8, capacity=20, max_depth=8)
-    assert len(dirs) > 1 and dirs[max(dirs)]
-    buckets = keys.select(exact_dedup.bucket_of(keys["key"], dirs, 8).alias("b"), "n").groupBy("b").sum("n").collect()
-    assert all(r[1] <= 20 for r in buckets)
+    slots, depth = exact_dedup.directory(keys, 8, capacity=20, max_depth=8)
+    bucket = {r.slot: r.bucket for r in slots.collect()}
+    assert len(bucket) == 1 << depth and depth > 1
+    sizes = Counter()
+    for key, n in [tuple(r) for r in keys.collect()]:
+        sizes[bucket[key >> (8 - depth)]] += n
+    assert all(n <= 20 for n in sizes.values())
+    # a bucket of less depth than the directory has several slots, in a row
+    shared = Counter(bucket.values())
+    assert max(shared.values()) > 1 and all(n & (n - 1) == 0 for n in shared.values())
+    assert [bucket[i] for i in sorted(bucket)] == sorted(bucket.values())
+
+
+def test_directory_grows_by_one_bit():
+    even = np.ones(16, dtype=np.int64)
+    assert [len(exact_dedup.doubled(even, c)) for c in (16, 8, 7, 4, 2, 1, 0)] == [1, 2, 4, 4, 8, 16, 16]
+    assert exact_dedup.doubled(np.array([9, 0, 0, 0, 1, 1, 1, 1]), 4).tolist() == [3, 3, 2, 2, 1, 1, 1, 1]
 
 
 def brute_lines(rows, min_words):
