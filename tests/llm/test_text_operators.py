@@ -272,21 +272,106 @@ def test_pii_base_spans(make, awkward, spark, sf):
     assert pii.pii_report(make(rows).limit(0)).collect() == []
 
 
-def test_em_tells_reliable_labelers():
+def plain_em(items, rounds, trust):
+    """The same estimate with a loop over single items of one kind."""
+    q = [min(0.95, max(0.05, 0.5 + 0.1 * sum(v * max(1, t) for v, t in zip(vote, trust)))) for vote in items]
+    for _ in range(rounds):
+        odds = [math.log((sum(q) + 1) / (len(q) - sum(q) + 1))] * len(items)
+        for j, t in enumerate(trust):
+            share = 1 + 0.02 * len(items)
+            yes, no = ((1, 2 * t, 4 * t * t), (4 * t * t, 2 * t, 1)) if t else ((1, 2, 4), (2, 2, 2))
+            one, zero = {v - 1: x * share for v, x in enumerate(yes)}, {v - 1: x * share for v, x in enumerate(no)}
+            for vote, p in zip(items, q):
+                one[vote[j]] += p
+                zero[vote[j]] += 1 - p
+            for i, vote in enumerate(items):
+                odds[i] += math.log(one[vote[j]] / sum(one.values()) * sum(zero.values()) / zero[vote[j]])
+        q = [1 / (1 + math.exp(-x)) for x in odds]
+    return q
+
+
+def test_em_against_plain_loop_and_truth():
     r = random.Random(1)
-    counts = Counter()
-    for _ in range(20000):
-        z = r.random() < 0.5
-        vote = tuple((1 if z else -1) if r.random() < a else (-1 if z else 1) for a in (0.95, 0.9, 0.6))
-        counts[pii.pattern(3, vote, False, "")] += 1
-    soft = pii.estimate(counts)
-    assert soft[pii.pattern(3, (1, 1, -1), False, "")] > 0.9 > 0.1 > soft[pii.pattern(3, (-1, -1, 1), False, "")]
+    truth, items = [], []
+    for _ in range(600):
+        z = r.random() < 0.4
+        truth.append(z)
+        items.append(tuple(0 if r.random() < 0.2 else (1 if z == (r.random() < a) else -1) for a in (0.95, 0.9, 0.85, 0.75, 0.6)))
+    both = Counter(pii.pattern(3, v, False) for v in items) + Counter(pii.pattern(5, v, True) for v in items[:200])
+    soft = pii.estimate(both, rounds=12)
+    assert np.allclose([soft[pii.pattern(3, v, False)] for v in items], plain_em(items, 12, [0, 0, 1, 2, 1]), atol=1e-9)
+    assert np.allclose([soft[pii.pattern(5, v, True)] for v in items[:200]], plain_em(items[:200], 12, [0, 3, 1, 2, 1]), atol=1e-9)
+    assert sum((soft[pii.pattern(3, v, False)] > 0.5) == z for v, z in zip(items, truth)) >= 560
 
 
 def test_pattern_round_trip():
-    for p in (pii.pattern(2, (1, -1, 0), True, "1-2 3"), pii.pattern(0, (-1, -1, -1), False, "x")):
-        k, v, b, s = pii.unpack(p)
-        assert p == ((((k * 3 + v[0] + 1) * 3 + v[1] + 1) * 3 + v[2] + 1) * 2 + b) * 16 + s
+    for x in ((2, (1, -1, 0, 1, -1), True), (0, (-1, -1, -1, 0, 0), False), (8, (1, 1, 1, 1, 1), True)):
+        assert pii.unpack(pii.pattern(*x)) == x
+
+
+def test_checks_of_kinds():
+    good = {2: "4111 1111 1111 1111", 5: "DE89 3704 0044 0532 0130 00", 6: "123-45-6789", 4: "9f8e7d6c5b4a39281706f5e4d3c2b1a0", 1: "2001:db8::1"}
+    bad = {2: "4111 1111 1111 1112", 5: "DE88 3704 0044 0532 0130 00", 6: "000-45-6789", 4: "internationalization-2", 3: "111-111-1111"}
+    assert {k: pii.checks(k, v) for k, v in good.items()} == dict.fromkeys(good, 1)
+    assert {k: pii.checks(k, v) for k, v in bad.items()} == dict.fromkeys(bad, -1)
+
+
+def planted(r, i):
+    """A text and what is to be added in it; every third text has decoys in place of data."""
+    iban = "DE{:02d}37040044{:010d}"
+    body = r.randrange(10**10)
+    check = 98 - int(f"37040044{body:010d}131400") % 97
+    secret = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    ssn = f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
+    phone = f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    mail = f"jane{i} [at] mail{i} [dot] org"
+    name = "Dr. Anna Berger" if i % 2 else "Peter Lindgren"
+    street = f"{r.randint(1, 99)} Maple {r.choice(('Street', 'Road', 'Lane'))}"
+    if i % 3:
+        parts = [("the secret token is ", secret, 4), ("transfer to iban ", iban.format(check, body), 5), ("her ssn is ", ssn, 6), ("please call the phone ", phone, 3), ("write a mail to ", mail, 0), ("the letter was signed by ", name, 7), ("she lives at ", street, 8)]
+    else:
+        parts = [("see commit sha ", secret, None), ("build part ", f"{secret[:8]}-{secret[8:12]}-{secret[12:20]}", None), ("invoice order ", f"{r.randint(4 * 10**15, 5 * 10**15)}", None), ("isbn ", "978-3-16-148410-0", None)]
+    text, want = prose(i, 20) + "\n", []
+    for cue, span, kind in parts:
+        text += cue
+        if kind is not None:
+            want.append((len(text), kind, len(text) + len(span)))
+        text += span + " " + prose(1000 + i, 6) + "\n"
+    return text, want
+
+
+def test_added_spans_are_those_planted(make):
+    r = random.Random(11)
+    made = [planted(r, i) for i in range(300)]
+    got = {x.doc_id: x for x in pii.pii_report(make([(i, t, "s") for i, (t, _) in enumerate(made)])).collect()}
+    want = {(i, f"{pii.KINDS[k]}:{a}:{b}") for i, (t, spans) in enumerate(made) for a, k, b in spans}
+    base = {(i, x) for i, (t, _) in enumerate(made) for x in filter(None, brute_pii(t).split(","))}
+    found = {(i, x) for i, r_ in got.items() for x in filter(None, r_.spans.split(","))} - base
+    assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.97 * len(found), (sorted(want - found)[:9], sorted(found - want)[:9])
+    assert sum(r_.n_added for r_ in got.values()) == len(found)
+    for kind in ("email", "phone", "secret", "account", "identity", "name", "address"):
+        of = {x for x in want if x[1].startswith(kind)}
+        assert len(found & of) >= 0.9 * len(of), kind
+    texts = {x.doc_id: x.text for x in pii.mask_pii(make([(i, t, "s") for i, (t, _) in enumerate(made)])).collect()}
+    whole = [i for i in texts if {x for x in want if x[0] == i} <= found]
+    assert len(whole) > 250 and not any(made[i][0][a:b] in texts[i] for i in whole for a, k, b in made[i][1] if k in (4, 5, 6)) and "[SECRET]" in texts[1]
+
+
+def test_scanning_is_linear():
+    import time
+
+    for x in ("1" * 10**6, "1." * 200_000, "a" * 10**6, "a1" * 500_000, "a@" * 300_000, "+1 " * 300_000, "a." * 400_000 + "@", "Dr " * 300_000, "1-" * 400_000):
+        began = time.process_time()
+        pii.candidates(x)
+        assert time.process_time() - began < 8, x[:8]
+
+
+def test_emails_as_the_pattern_finds_them():
+    r = random.Random(4)
+    p = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(3000):
+        t = "".join(r.choice("ab@@..-_ ") for _ in range(r.randint(0, 30)))
+        assert pii.emails(t) == [m.span() for m in p.finditer(t)], t
 
 
 RECORD = "record_id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, part string, to int"
