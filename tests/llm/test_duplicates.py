@@ -25,14 +25,14 @@ def near_texts():
     return out + [out[0], out[7], out[7], "", "", "one two", "one  two", prose(99, 200)]
 
 
-def test_jaccard_finds_what_brute_force_finds(make):
-    texts = near_texts()
-    got = {r.doc_id: r for r in jaccard.classes(make(texts), block=3).collect()}
-    assert len(got) == len(texts)
-    sets = []
-    for t in texts:
-        w = t.split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+def brute_classes(texts, n=5, threshold=0.8):
+    """(least place that links lead to, different texts linked) of each text; all pairs that share an n-gram are counted."""
+    sets, holds = [], defaultdict(list)
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+        for g in sets[-1]:
+            holds[g].append(i)
     root = list(range(len(texts)))
 
     def find(i):
@@ -40,18 +40,31 @@ def test_jaccard_finds_what_brute_force_finds(make):
             i = root[i]
         return i
 
-    links = defaultdict(set)
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
+    def join(i, j):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+
+    first, links = {}, [set() for _ in texts]
+    for j, s in enumerate(sets):
+        join(j, first.setdefault(texts[j] or "", j))
+        shared = Counter(i for g in s for i in holds[g] if i < j)
+        for i, both in shared.items():
+            if both >= threshold * (len(sets[i]) + len(s) - both) - 1e-9:
+                join(i, j)
                 if texts[i] != texts[j]:
                     links[i].add(texts[j])
                     links[j].add(texts[i])
+    return [find(i) for i in range(len(texts))], [len(x) for x in links]
+
+
+def test_jaccard_finds_what_brute_force_finds(make):
+    texts = near_texts()
+    got = {r.doc_id: r for r in jaccard.classes(make(texts), block=3).collect()}
+    assert len(got) == len(texts)
+    least, links = brute_classes(texts)
     for i in range(len(texts)):
-        assert got[i].class_id == find(i), i
-        assert got[i].n_links == len(links[i]), i
+        assert got[i].class_id == least[i], i
+        assert got[i].n_links == links[i], i
     assert got[len(texts) - 2].class_id == len(texts) - 3  # white space does not count
 
 
@@ -61,6 +74,32 @@ def test_jaccard_block_size_does_not_matter(make):
     assert rows(1) == rows(4) == rows(1000)
 
 
+def test_jaccard_by_buckets_of_a_long_chain(make, monkeypatch):
+    """A component that hangs together by neighbours is verified bucket by bucket, to the same result."""
+    line = prose(31, 150 + 10 * 160).split()
+    texts = [" ".join(line[10 * i : 10 * i + 150]) for i in range(160)]
+    monkeypatch.setattr(jaccard, "FEW", 1000)
+    seen = []
+    plain = jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda *a: seen.append(a[-1]) or plain(*a))
+    groups = jaccard.groups_of
+    used = []
+    monkeypatch.setattr(jaccard, "groups_of", lambda *a: used.append(groups(*a)) or used[0])
+    got = {r.doc_id: r for r in jaccard.classes(make(texts), block=1).collect()}
+    least, links = brute_classes(texts)
+    assert [got[i].class_id for i in range(160)] == least and [got[i].n_links for i in range(160)] == links
+    assert used[0].filter("band >= 0").count() > 160
+
+
+def test_jaccard_of_testdata(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    least, links = brute_classes([r.text for r in rows])
+    got = {r.doc_id: r for r in jaccard.classes(docs).collect()}
+    assert [got[r.doc_id].class_id for r in rows] == [rows[i].doc_id for i in least]
+    assert [got[r.doc_id].n_links for r in rows] == links and sum(links)
+
+
 def test_banding_reaches_its_recall():
     b, r = jaccard.banding(0.8, 0.999)
     assert b * r <= jaccard.MAX_HASHES and 1 - (1 - 0.8**r) ** b >= 0.999
