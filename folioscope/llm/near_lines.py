@@ -54,9 +54,12 @@ def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFr
 
     d and t are the key of the document, m its number of such lines, lh and lc hashes of the line.
     """
-    fits = lambda x: (x != "") & (n_chars(x, " ") >= min_words - 1)
+    fits = lambda x: (x != "") if min_words < 2 else (x != "") & (n_chars(x, " ") >= min_words - 1)
     rows = docs.select(*[c.alias(k) for k, c in key_of(id_col, text).items()], plain_lines(F.col(text)).alias("lines"))
-    rows = rows.select("d", "t", F.size(F.filter("lines", fits)).alias("m"), F.posexplode("lines").alias("i", "line"))
+    # a step of its own, or the whole array would go along with each of its lines
+    rows = rows.select("d", "t", F.size(F.filter("lines", fits)).alias("m"), "lines")
+    # the outer form, as Spark infers from the other one a filter that splits every text again
+    rows = rows.select("d", "t", "m", F.posexplode_outer("lines").alias("i", "line"))
     return rows.filter(fits(F.col("line"))).select("d", "t", "i", "m", "line", F.xxhash64("line").alias("lh"), F.xxhash64(F.lit(1), "line").alias("lc"))
 
 
