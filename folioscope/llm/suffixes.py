@@ -364,7 +364,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     least = own.groupBy("doc", "doc2").agg(F.min("doc_id").alias("least"))
     wanted = wanted.join(least, same_text).select("of", "of2", "least", "found")
     sides = keep(own.join(wanted, same_text & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "found").mapInArrow(side_rows(length, k), SIDES))
-    ctx_cuts = repeated_in(sides, length, group).groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    # written first, as above: a context with very many places is split then
+    ctx_cuts = keep(repeated_in(sides, length, group).groupBy("h", "ctx").agg(F.flatten(F.collect_list("cut")).alias("cut")))
     mixed_places = shared.filter("mixed").join(ctx_cuts, ["h", "ctx"]).select("doc", "doc2", "place", "cut")
     lo, hi = F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
     own_places = shared.filter("NOT mixed").select("doc", "doc2", "place", F.array(-lo, hi).cast("array<int>").alias("cut"))
