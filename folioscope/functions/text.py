@@ -26,15 +26,29 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII, so that there are no marks or letters to fold."""
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
     """normalize() for text that is composed already: all JVM-side."""
     t = F.translate(F.regexp_replace(text, MARKS, ""), LETTERS_FROM + DIGITS_FROM, LETTERS_TO + DIGITS_TO)
-    return F.trim(F.regexp_replace(F.lower(t), WHITE, " "))
+    return F.trim(F.regexp_replace(F.lower(F.when(_plain(text), text).otherwise(t)), WHITE, " "))
+
+
+#: Characters that composing may change: marks, jamo, and letters that are written by others.
+COMPOSING = "[\\p{M}\u0340-\u0345\u0374\u037e\u0387\u1100-\u11ff\u1f71-\u1ffd\u2000\u2001\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff\ufb1d-\ufb4e]"
+
+
+def composed(text: Column) -> Column:
+    """A text in composed form. Only texts that composing may change are sent to Python; null stays null."""
+    return F.coalesce(nfc(F.when(text.rlike(COMPOSING), text)), text)
 
 
 def normalize(text: Column) -> Column:
     """Compose, drop marks, fold letters and digits, lower case, one space for white space. Null stays null."""
-    return fold(nfc(text))
+    return fold(composed(text))
 
 
 def once(value: Column, body) -> Column:
@@ -48,10 +62,18 @@ def tokens(norm: Column) -> Column:
 
 def token_line(norm: Column) -> Column:
     """' w1 w2 ': a phrase match is then a literal containment."""
-    return F.concat(F.lit(" "), F.array_join(tokens(norm), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(norm, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def index_line(text: Column) -> Column:
+    """The token line of a text's folded words; white space need not be put in order for it."""
+    c = composed(text)
+    t = F.translate(F.regexp_replace(c, MARKS, ""), LETTERS_FROM + DIGITS_FROM, LETTERS_TO + DIGITS_TO)
+    return token_line(F.lower(F.when(_plain(c), c).otherwise(t)))
 
 
 def clean_marks(text: Column) -> Column:
+    """Marks and lengthening strokes go, white space becomes single spaces; letters stay as they are."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, EMBEDDING_MARKS, ""), r"\s+", " "))
 
 
@@ -80,6 +102,12 @@ def email_norm(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
+def email_valid(text: Column) -> Column:
+    """One @, a dotted domain, no white space, 254 characters at most."""
+    e = email_norm(text)
+    return F.coalesce(e.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$") & (F.length(e) <= 254), F.lit(False))
+
+
 def signature(norm: Column, limit: int = 200) -> Column:
     return F.substring(F.regexp_replace(norm, r"[^\p{L}\p{N}_]", ""), 1, limit)
 
@@ -98,9 +126,13 @@ def phrase(line: Column, query: list[str]) -> Column:
 
 def prefix_all(words: Column, terms: list[str]) -> Column:
     """Each term begins some word."""
+
+    def begun(t: str) -> Column:
+        return F.exists(words, lambda w: F.startswith(w, F.lit(t)))
+
     out = F.lit(True)
     for t in terms:
-        out = out & F.exists(words, lambda w, t=t: w.startswith(t))
+        out = out & begun(t)
     return out
 
 

@@ -1,4 +1,4 @@
-"""Folds that depend on the order of arrival: record merge, rate limit with unrecorded refusals, longest rising chain, anchor chain."""
+"""Folds that depend on the order of arrival: record merge, rate limit with unrecorded refusals, longest rising chain."""
 
 from __future__ import annotations
 
@@ -27,36 +27,67 @@ class Record(NamedTuple):
     device: str
 
 
-def later(time: int | None, device: str, than: int | None, its: str) -> bool:
-    """A later clock, or the larger device at a tie; no time is before every time."""
-    return time is not None and (than is None or (time, device) > (than, its))
+#: Registers of a record and the clock of each: what it says, and where it stands among its like.
+CLOCKS = {"content": "updated", "place": "moved"}
+READ_BY_USERS = ("title", "bodyText")
+
+
+def winners(old: Record, new: Record, registers: list[str]) -> dict[str, Record]:
+    """The last writer of each register: by its clock, then by device. A write without a time wins nothing."""
+
+    def stamp(r: Record, register: str) -> tuple:
+        time = getattr(r, CLOCKS[register])
+        return (time is not None, time or 0, r.device if time is not None else "")
+
+    return {x: max((old, new), key=lambda r: stamp(r, x)) for x in registers}
+
+
+def composed(last: dict[str, Record], old: Record, new: Record, field: str | None) -> Record:
+    """One record of the registers' winners: the place's field goes over the content's, or takes it away if a new place has none."""
+    content, place = last["content"], last.get("place", last["content"])
+    data = None if content.deleted else content.data
+    if data is not None:
+        givers = [] if not field else [new] if place is new else [old, content]
+        order = next(({field: r.data[field]} for r in givers if field in (r.data or {})), {})
+        data = {k: v for k, v in data.items() if k != field} | order
+    return Record(data, content.deleted, content.updated, place.moved, new.device)
 
 
 def merge_change(kind: str, old: Record | None, old_seq: int, new: Record, seen: int | None) -> tuple[Record, str, dict | None]:
     """The record after a change, what became of the change, and the text that lost, if it is kept.
 
-    Content and order field have a clock each, and share the device of whatever was written last. A text is kept when
-    two notes differ and the writer had not seen the stored one.
+    A record is two registers, content and (for some kinds) place, each kept by its last writer; the device is that of
+    whatever was written last. The loser of two different notes is kept as a copy if its writer had not seen the other.
     """
     if old is None:
         return new, "applied", None
     field = ORDER_FIELDS.get(kind)
-    edits = later(new.updated, new.device, old.updated, old.device)
-    moves = field is not None and later(new.moved, new.device, old.moved, old.device)
-    words = [[(r.data or {}).get(k) or "" for k in ("title", "bodyText")] for r in (old, new)]
-    blind = kind == NOTE and old_seq > (seen or 0) and not (old.deleted or new.deleted) and words[0] != words[1]
-    lost = dict((old if edits else new).data or {}) or None if blind else None
-    status = ("applied" if edits or (moves and not lost) else "older_ignored") + ("_with_copy" if lost else "")
-    if not (edits or moves):
-        return old, status, lost
-    content, place = (new if edits else old), (new if moves else old)
-    data = None if content.deleted or content.data is None else dict(content.data)
-    if data is not None and field:
-        if field in (place.data or {}):
-            data[field] = place.data[field]
-        elif moves:
-            data.pop(field, None)
-    return Record(data, content.deleted, content.updated, (place if field else content).moved, new.device), status, lost
+    last = winners(old, new, ["content", "place"] if field else ["content"])
+    lost = None
+    if kind == NOTE and (seen or 0) < old_seq and not any(r.deleted for r in (old, new)):
+        loser = new if last["content"] is old else old
+        says = [tuple((r.data or {}).get(k) or "" for k in READ_BY_USERS) for r in (old, new)]
+        lost = dict(loser.data or {}) or None if len(set(says)) == 2 else None
+    won = [x for x, r in last.items() if r is new]
+    # a kept copy of what came in is what became of the change, wherever it moved the note
+    applied = "content" in won or (won and not lost)
+    status = ("applied" if applied else "older_ignored") + "_with_copy" * bool(lost)
+    return (composed(last, old, new, field) if won else old), status, lost
+
+
+def _whole(v) -> int | None:
+    return None if pd.isna(v) else int(v)
+
+
+def _text(d: dict | None) -> str | None:
+    return None if d is None else json.dumps(d, ensure_ascii=False, sort_keys=True)
+
+
+def change_of(r) -> Record:
+    """The record that a row of changes writes."""
+    gone = False if pd.isna(r.deleted) else bool(r.deleted)
+    data = None if gone or not isinstance(r.data, str) else json.loads(r.data)
+    return Record(data, gone, _whole(r.updated_us), _whole(r.moved_us), r.device if isinstance(r.device, str) else "")
 
 
 def merge_changes(changes: DataFrame) -> DataFrame:
@@ -67,12 +98,6 @@ def merge_changes(changes: DataFrame) -> DataFrame:
     is one record. Null deleted counts as false, null device as empty; null data is a record without data.
     """
 
-    def whole(v) -> int | None:
-        return None if pd.isna(v) else int(v)
-
-    def text(d: dict | None) -> str | None:
-        return None if d is None else json.dumps(d, ensure_ascii=False, sort_keys=True)
-
     def fold(batches):
         at, state, state_seq = None, None, 0
         for pdf in batches:
@@ -81,14 +106,11 @@ def merge_changes(changes: DataFrame) -> DataFrame:
                 key = tuple(None if pd.isna(v) else v for v in (r.user_id, r.kind, r.key))
                 if key != at:
                     at, state = key, None
-                gone = False if pd.isna(r.deleted) else bool(r.deleted)
-                data = None if gone or not isinstance(r.data, str) else json.loads(r.data)
-                new = Record(data, gone, whole(r.updated_us), whole(r.moved_us), r.device if isinstance(r.device, str) else "")
                 before = state
-                state, status, lost = merge_change(r.kind, state, state_seq, new, whole(r.seen))
+                state, status, lost = merge_change(r.kind, state, state_seq, change_of(r), _whole(r.seen))
                 if state is not before:
                     state_seq = int(r.seq)
-                out.append((*key, int(r.seq), status, text(lost), text(state.data), state.deleted, state.updated, state.moved, state.device))
+                out.append((*key, int(r.seq), status, _text(lost), _text(state.data), state.deleted, state.updated, state.moved, state.device))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"user_id": "Int64", "updated_us": "Int64", "moved_us": "Int64"})
 
     rows = changes.select(*KEYS, "seq", "updated_us", "moved_us", "device", "deleted", "data", "seen")
@@ -150,27 +172,3 @@ def lis_chain(anchors: DataFrame) -> DataFrame:
         return pdf.iloc[longest_rising(pdf["y"].tolist())]
 
     return anchors.groupBy("grp").applyInPandas(chain, "grp long, x long, y double")
-
-
-def steady_chain(xs: list[float], ys: list[float], drift: float) -> list[int]:
-    """Indexes, by rising x, of a longest chain whose y never falls and whose steps in x and y differ by at most drift."""
-    best, back = [1] * len(xs), [-1] * len(xs)
-    for i in range(len(xs)):
-        for j in range(i):
-            if ys[j] <= ys[i] and abs((ys[i] - ys[j]) - (xs[i] - xs[j])) <= drift and best[j] + 1 > best[i]:
-                best[i], back[i] = best[j] + 1, j
-    out, i = [], max(range(len(xs)), key=lambda k: (best[k], -k), default=-1)
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
-
-
-def anchor_chain(anchors: DataFrame, drift: float = 50.0) -> DataFrame:
-    """(grp, x, y): the anchors of each group, a book, that agree with each other."""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        return pdf.iloc[steady_chain(pdf["x"].tolist(), pdf["y"].tolist(), drift)]
-
-    return anchors.groupBy("grp").applyInPandas(chain, "grp long, x long, y double")

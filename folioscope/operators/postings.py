@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import index_line
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once for each row."""
@@ -24,8 +26,8 @@ def _runs(pairs: Column, gather) -> Column:
 
 
 def page_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, postings): for each page its terms, words in lower case, with their positions from 0. A null text has none."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """(doc_id, postings): for each page its terms, folded words, with their positions from 0. A null text has none."""
+    words = F.filter(F.split(F.trim(index_line(F.col("text"))), " "), lambda w: w != "")
     pairs = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
     return docs.select("doc_id", _runs(pairs, lambda ats: ats).alias("postings"))
 

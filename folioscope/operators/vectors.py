@@ -13,52 +13,94 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 BLOCK = 1024
 
 
-def _collected(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    q = queries.select("vec_id", "embedding").toPandas()
-    out = []
-    for k in range(0, len(q), BLOCK):
-        part = q[k : k + BLOCK]
-        m = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        out.append((part["vec_id"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
-    return out
+def topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query, vec_id, score, rank. Queries meet vectors in blocks: a row of a block of queries for each batch of vectors.
 
+    Queries are packed into rows of `block` of them, and these rows go to the tasks of vectors one by one: a query set of
+    any size is read as a table, and nothing of it is in the driver. Tasks keep their k best for each query.
+    """
 
-def topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query, vec_id, score, rank: each task keeps its k best for each query, so k rows a task and query are shuffled."""
-    blocks = _collected(queries)
+    def packed(batches):
+        ids, rows = [], []
+        for pdf in batches:
+            for i, v in zip(pdf["vec_id"].tolist(), pdf["embedding"], strict=True):
+                ids.append(i)
+                rows.append(np.asarray(v, dtype=np.float32))
+                if len(ids) == block:
+                    yield pd.DataFrame({"ids": [ids], "dim": [len(rows[0])], "m": [np.stack(rows).tobytes()]})
+                    ids, rows = [], []
+        if ids:
+            yield pd.DataFrame({"ids": [ids], "dim": [len(rows[0])], "m": [np.stack(rows).tobytes()]})
+
+    def batches_of(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"v_ids": [pdf["vec_id"].tolist()], "v": [np.stack([np.asarray(x, dtype=np.float32) for x in pdf["embedding"]]).tobytes()]})
+
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
     def best(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            ids = pdf["vec_id"].to_numpy()
-            for names, q in blocks:
-                s = np.round(q @ m.T, 6)
-                for i, name in enumerate(names):
-                    order = np.lexsort((ids, -s[i]))[:k]
-                    yield pd.DataFrame({"query": name, "vec_id": ids[order], "score": s[i][order]})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(best, "query long, vec_id long, score double")
+            out = []
+            for ids, dim, m, v_ids, v in zip(pdf["ids"], pdf["dim"], pdf["m"], pdf["v_ids"], pdf["v"], strict=True):
+                q, x = (unit(np.frombuffer(b, dtype=np.float32).reshape(-1, int(dim)).astype(np.float64)) for b in (m, v))
+                own, s = np.asarray(v_ids), np.round(q @ x.T, 6)
+                for i, name in enumerate(ids):
+                    order = np.lexsort((own, -s[i]))[:k]
+                    out.append(pd.DataFrame({"query": name, "vec_id": own[order], "score": s[i][order]}))
+            if out:
+                yield pd.concat(out)
+
+    blocks = queries.select("vec_id", "embedding").mapInPandas(packed, "ids array<long>, dim int, m binary")
+    parts = vectors.select("vec_id", "embedding").mapInPandas(batches_of, "v_ids array<long>, v binary")
+    found = parts.crossJoin(blocks).mapInPandas(best, "query long, vec_id long, score double")
     by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def checked_upload(uploads: DataFrame, chunks: DataFrame, chunker: str, dim: int) -> DataFrame:
+    """book, status, chunk, vector: uploaded half-precision vectors, one for each chunk of its book, or why they are refused.
+
+    uploads: book, chunker, n, raw (all vectors of a book); chunks: book, chunk (from 0). A book is taken as a whole.
+    """
+    counts = chunks.groupBy(F.col("book").alias("_b")).agg(F.count("*").alias("_n"))
+    own = uploads.join(counts, F.col("book") == F.col("_b"), "left")
+    status = (
+        F.when(F.coalesce(F.col("chunker") != chunker, F.lit(True)), "chunker")
+        .when(F.coalesce(F.octet_length("raw") != F.col("n") * dim * 2, F.lit(True)), "bytes")
+        .when(F.coalesce(F.col("_n"), F.lit(0)) != F.col("n"), "chunks")
+        .otherwise("ok")
+    )
+    own = own.withColumn("status", status)
+    part = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.struct(i.cast("int").alias("chunk"), F.substring(F.col("raw"), i * (dim * 2) + 1, F.lit(dim * 2)).alias("v")))
+    taken = own.filter("status = 'ok' AND n > 0").select("book", "status", F.inline(part)).select("book", "status", "chunk", decode_f16("v").alias("vector"))
+    refused = own.filter("status <> 'ok'").select("book", "status", F.lit(None).cast("int").alias("chunk"), F.lit(None).cast("array<float>").alias("vector"))
+    return taken.unionByName(refused)
+
+
+def upserted(points: DataFrame, new: DataFrame) -> DataFrame:
+    """points (id, ...) with the rows of new in place of those of the same id. Of equal ids in new, any one."""
+    own = new.dropDuplicates(["id"])
+    return points.join(own.select("id"), "id", "left_anti").unionByName(own)
+
+
 def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 4, tables: int = 24, seed: int = 5) -> DataFrame:
     """As topk, among vectors that share the bucket of some table with the query; scored exactly."""
-    dim = len(vectors.select("embedding").first()[0])
-    normals = np.random.default_rng(seed).standard_normal((tables, planes, dim))
-
     @F.pandas_udf("array<long>")
     def buckets(v: pd.Series) -> pd.Series:
-        bits = np.einsum("tpd,nd->ntp", normals, np.stack(v.to_numpy()).astype(np.float64)) > 0
+        if not len(v):
+            return pd.Series([], dtype=object)
+        m = np.stack(v.to_numpy()).astype(np.float64)
+        # the same planes in every task, as they come from the seed alone
+        normals = np.random.default_rng(seed).standard_normal((tables, planes, m.shape[1]))
+        bits = np.einsum("tpd,nd->ntp", normals, m) > 0
         return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2) + np.arange(tables) * (1 << planes)))
 
     side = lambda t, n: t.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"{n}_v"), F.explode(buckets("embedding")).alias("b"))
     pairs = side(queries, "query").join(side(vectors, "vec_id"), "b").dropDuplicates(["query", "vec_id"])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = F.round(dot(F.col("query_v"), F.col("vec_id_v")) / F.sqrt(dot(F.col("query_v"), F.col("query_v")) * dot(F.col("vec_id_v"), F.col("vec_id_v"))), 6)
+    size = F.sqrt(dot(F.col("query_v"), F.col("query_v")) * dot(F.col("vec_id_v"), F.col("vec_id_v")))
+    score = F.round(F.coalesce(F.try_divide(dot(F.col("query_v"), F.col("vec_id_v")), size), F.lit(0.0)), 6)
     by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return pairs.select("query", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 

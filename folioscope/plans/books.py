@@ -11,8 +11,6 @@ from ..operators import folds, search, vectors
 from ..sources import books, marked
 from ..sources.tables import read
 
-KEYWORDS = ("of the", "in the", "de la", "und die")
-
 
 def marked_files(spark, sf_dir: str) -> DataFrame:
     """Each document as a marked-up file of one page; in every eleventh a footnote stays open."""
@@ -85,22 +83,6 @@ def meaning_search(spark, sf_dir, limit: int = 5):
     return cut.join(who, "label", "left").select("query", "vec_id", "place", "s_name")
 
 
-def word_leg(spark, sf_dir, each: int = 6):
-    """The first pages of each keyword, fused by reciprocal rank. Each keyword keeps its first few, so little is shuffled."""
-    line = T.token_line(F.lower("text"))
-    k = F.filter(F.array(*[F.lit(w) for w in KEYWORDS]), lambda w: F.contains(F.col("line"), F.concat(F.lit(" "), w, F.lit(" "))))
-    hits = read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", F.explode(k).alias("keyword"))
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("keyword").orderBy("doc_id"))).filter(F.col("r") <= each)
-    return best.groupBy("doc_id").agg(F.round(F.sum(F.lit(1.0) / (60 + F.col("r"))), 12).alias("score"))
-
-
-def rewrite_parse(spark, sf_dir):
-    """At most three strings of a list that comes as JSON."""
-    j = F.to_json(F.struct(F.slice(T.tokens(F.lower("text")), 1, 5).alias("queries")))
-    q = read(spark, sf_dir, "documents").select("doc_id", F.from_json(j, "queries array<string>").alias("r"))
-    return q.select("doc_id", F.array_join(F.slice("r.queries", 1, 3), "|").alias("queries"))
-
-
 def overlap_score(spark, sf_dir, n: int = 5):
     """Of each item, the share of its different word n-grams that a document holds."""
 
@@ -123,11 +105,10 @@ def located(spark, sf_dir):
 
 QUERIES = {
     "src_decode": src_decode, "parse_header": parse_header, "parse_body": parse_body, "import_log": import_log, "src_book_json": src_book_json, "paginate": paginate, "book_issues": book_issues,
-    "vec_decode_f16": vec_decode_f16, "meaning_search": meaning_search, "word_leg": word_leg, "rewrite_parse": rewrite_parse, "overlap_score": overlap_score, "snippet_locate": located,
+    "vec_decode_f16": vec_decode_f16, "meaning_search": meaning_search, "overlap_score": overlap_score, "snippet_locate": located,
     "strip_names": lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", names.strip_names(F.col("text"), ["of the", "the"]).alias("rest")),
     "lang_strip": lambda spark, d: read(spark, d, "part").select("p_partkey", *[c.alias(a) for c, a in zip(names.lang_strip(F.concat("p_name", F.lit(" ، عربي"))), ("clean", "hint"), strict=True)]),
     "honorific_spell": lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(names.honorific_spell(F.col("text"))).alias("text_md5")),
-    "anchor_chain": lambda spark, d: folds.anchor_chain(read(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("x"), F.col("value").alias("y"))),
 }
 
 SQL = {
@@ -143,10 +124,6 @@ SQL = {
     "meaning_search": """WITH s AS (SELECT q.vec_id AS query, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0),
       t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY rank) AS nth FROM t WHERE rank <= 10),
       c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM b WHERE nth = 1) SELECT query, vec_id, place, s_name FROM c LEFT JOIN supplier ON s_suppkey - 1 = label WHERE place <= 5""",
-    "word_leg": r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS line FROM documents),
-      h AS (SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r FROM d JOIN (VALUES ('of the'), ('in the'), ('de la'), ('und die')) v(k) ON contains(line, ' ' || k || ' '))
-      SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM h WHERE r <= 6 GROUP BY doc_id""",
-    "rewrite_parse": r"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 3), '|') AS queries FROM documents",
     "overlap_score": r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
       bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS gram FROM b, unnest(range(1, len(w) - 3)) AS r(i)), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS gram FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
       n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id) SELECT doc_id, item_id, round(count(*)::DOUBLE / any_value(n.n), 9) AS score FROM dg JOIN bg USING (gram) JOIN n USING (item_id) GROUP BY doc_id, item_id""",

@@ -26,11 +26,6 @@ def base(d):
 QUERIES = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 def plain(name, sql):
     QUERIES[name] = lambda d: f"{base(d)} {sql.format(d=d)}"
 
@@ -41,13 +36,8 @@ plain("filter_and_or", "SELECT book_id FROM books b JOIN works w USING (work_id)
 plain("filter_or_union", "SELECT book_id FROM books b JOIN works w USING (work_id) WHERE published AND subject = 'Brand#12' AND language = 'O' UNION SELECT book_id FROM books WHERE published AND work_id IN (1, 2, 3)")
 plain("exists_semi", "SELECT work_id, title FROM works w WHERE EXISTS (SELECT 1 FROM books b WHERE b.work_id = w.work_id AND b.published AND b.volume = 7)")
 plain("distinct_from", "SELECT a.work_id, count(*) AS n FROM books a JOIN works w USING (work_id) WHERE a.language IS DISTINCT FROM CASE WHEN featured THEN 'O' END GROUP BY a.work_id")
-plain("contains_literal", "SELECT work_id, title FROM works WHERE contains(title, 'e') AND NOT contains(title, '%')")
 plain("whole_word", "SELECT doc_id FROM documents WHERE contains(concat(' ', text, ' '), ' the ')")
-QUERIES["match_unambiguous"] = lambda d: f"""{base(d)}, exact AS (SELECT author_id FROM authors WHERE lower(name) = 'supplier#000000007'), loose AS (SELECT author_id, count(*) OVER () AS n FROM authors WHERE contains(lower(name), '00001')),
-one AS (SELECT author_id, 0 AS tier FROM exact UNION ALL SELECT author_id, 1 FROM loose WHERE n <= 20 AND NOT EXISTS (SELECT 1 FROM exact)) SELECT author_id, tier FROM one"""
 QUERIES["json_field"] = lambda d: f"SELECT event_id, CAST({d.json('props', 'k')} AS BIGINT) AS k FROM events WHERE CAST({d.json('props', 'k')} AS BIGINT) < 20"
-QUERIES["front_matter_drop"] = lambda d: f"""{base(d)}, m AS (SELECT book, sequence, doc_id, sequence <= 12 AND {d.like('text', '[Tt]h')} AS front FROM pages_of),
-c AS (SELECT *, sum(CASE WHEN front THEN 0 ELSE 1 END) OVER (PARTITION BY book) AS n_left FROM m) SELECT book, sequence, doc_id FROM c WHERE NOT front OR n_left < 5"""
 plain("proj_contract", "SELECT CAST(w.work_id AS {d.text}) AS id, title, coalesce(max(name), '') AS author, coalesce(sum(bytes), 0) AS size FROM works w LEFT JOIN books b ON b.work_id = w.work_id AND published AND volume = 1 LEFT JOIN authors a USING (author_id) GROUP BY w.work_id, title")
 
 # Catalog
@@ -55,7 +45,6 @@ plain("list_works", "SELECT w.work_id, title, n AS volumes, size FROM (SELECT wo
 plain("featured", "SELECT work_id, row_number() OVER (ORDER BY featured_order, title, work_id) AS position FROM works WHERE featured")
 QUERIES["work_detail"] = lambda d: f"{base(d)} SELECT w.work_id, title, coalesce(sum(bytes), 0) AS size, {d.agg('book_id', 'volume, book_id')} AS volumes FROM works w JOIN books b ON b.work_id = w.work_id WHERE published GROUP BY w.work_id, title"
 plain("list_books", "SELECT book_id, title, volume FROM books JOIN works USING (work_id) WHERE published AND language = 'O' ORDER BY title, volume NULLS FIRST, book_id LIMIT 50 OFFSET 100")
-plain("title_author_search", "SELECT DISTINCT w.work_id FROM works w JOIN books b ON b.work_id = w.work_id AND published JOIN authors a USING (author_id) WHERE (contains(lower(title), 'a') OR contains(lower(name), 'a')) AND (contains(lower(title), '1') OR contains(lower(name), '1'))")
 plain("title_rank", "SELECT work_id, CASE WHEN lower(title) = 'part 1' THEN 0 WHEN starts_with(lower(title), 'part') THEN 1 WHEN contains(lower(title), 'part') THEN 2 WHEN contains(lower(title), 'a') AND contains(lower(title), 'r') THEN 3 ELSE 4 END AS rank, CAST(length(title) AS BIGINT) AS len FROM works".replace("starts_with(lower(title), 'part')", "left(lower(title), 4) = 'part'"))
 plain("books_by_ids", "SELECT book_id, work_id FROM books WHERE published AND work_id IN (3, 14, 15, 92, 65)")
 plain("list_authors", "SELECT author_id, name, CASE WHEN left(lower(name), 8) = 'supplier' THEN 0 ELSE 1 END AS rank FROM authors WHERE contains(lower(name), '1') AND contains(lower(name), '0')")
@@ -72,13 +61,10 @@ plain("swap_neighbor", "SELECT work_id, CASE WHEN work_id = 10 THEN prev_o WHEN
 plain("append_order", "SELECT w.work_id, m.top + row_number() OVER (ORDER BY w.work_id) AS new_order, greatest(m.id, 900000) + 1 AS next_id FROM works w JOIN (SELECT max(featured_order) AS top, max(work_id) AS id FROM works WHERE featured) m ON true WHERE NOT featured".replace("JOIN (SELECT", "CROSS JOIN (SELECT").replace(" m ON true", " m"))
 plain("renumber", "SELECT work_id, o, CASE WHEN o <= 10 THEN 'a' ELSE 'b' END AS section FROM (SELECT work_id, row_number() OVER (ORDER BY title, work_id) AS o FROM works WHERE featured) t")
 plain("volume_clash", "SELECT book_id FROM (SELECT book_id, count(*) OVER (PARTITION BY work_id, author_id, volume) AS n FROM books) t WHERE n > 1")
-plain("page_neighbors", "SELECT book, sequence, lag(sequence) OVER (PARTITION BY book ORDER BY sequence) AS prev, lead(sequence) OVER (PARTITION BY book ORDER BY sequence) AS next, max(CASE WHEN contains(lower(left(text, 40)), 'the') THEN sequence END) OVER (PARTITION BY book ORDER BY sequence) AS section FROM pages_of")
-plain("reader_toc", "SELECT p.book, p.sequence, coalesce(q.sequence, p.sequence) AS page FROM pages_of p LEFT JOIN pages_of q ON q.book = p.book AND q.sequence = p.sequence + 1 AND q.lang = p.lang")
 plain("limit_has_more", "SELECT work_id, n > 20 AS has_more FROM (SELECT work_id, count(*) OVER () AS n, row_number() OVER (ORDER BY work_id) AS r FROM (SELECT work_id FROM works WHERE featured ORDER BY work_id LIMIT 21) a) b WHERE r <= 20")
 plain("keyset_page", "SELECT conv_id, turn, role FROM conversations WHERE conv_id > 20 OR (conv_id = 20 AND turn > 1) ORDER BY conv_id, turn LIMIT 30")
 plain("topk", "SELECT book_id, bytes FROM books WHERE published ORDER BY bytes DESC, book_id LIMIT 25")
 plain("join_anti", "SELECT work_id FROM works w WHERE NOT EXISTS (SELECT 1 FROM books b WHERE b.work_id = w.work_id AND volume = 6)")
-plain("join_asof", "SELECT book, sequence, section_no FROM (SELECT book, sequence, sum(CASE WHEN contains(left(text, 30), 'of') THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY sequence) AS section_no FROM pages_of) t WHERE section_no > 0")
 plain("join_composite", "SELECT a.book, a.sequence, b.doc_id FROM pages_of a JOIN pages_of b ON a.book = b.book AND a.sequence = b.sequence - 1")
 
 # Aggregates and sets
@@ -88,115 +74,52 @@ plain("agg_filter", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click'
 QUERIES["agg_ordered"] = lambda d: f"{base(d)} SELECT author_id, {d.agg('book_id', 'volume, book_id', ';')} AS books FROM books WHERE published GROUP BY author_id"
 QUERIES["agg_count_min"] = lambda d: f"SELECT user_id, count(*) AS n, min({d.micros('ts')}) AS oldest FROM events WHERE event_type = 'signup' GROUP BY user_id"
 plain("fingerprint_diff", "SELECT a.book, a.n FROM (SELECT book, count(*) AS n, min(sequence) AS lo, max(sequence) AS hi FROM pages_of GROUP BY book) a LEFT JOIN (SELECT book, count(*) AS n, min(sequence) AS lo, max(sequence) AS hi FROM pages_of WHERE lang <> 'fr' GROUP BY book) b ON b.book = a.book WHERE a.n IS DISTINCT FROM b.n OR a.lo IS DISTINCT FROM b.lo OR a.hi IS DISTINCT FROM b.hi")
-plain("survey_fill_rates", "SELECT lang, count(*) AS n, round(avg(CAST(CASE WHEN length(text) > 1000 THEN 1 ELSE 0 END AS DOUBLE)), 9) AS long_share, max(n_chars) AS most FROM documents GROUP BY lang")
-QUERIES["word_freq"] = lambda d: f"SELECT w AS word, count(*) AS n FROM {d.explode(d.words('lower(text)'), 'documents')} GROUP BY w HAVING count(*) >= 20"
-QUERIES["common_words"] = lambda d: f"SELECT w AS word, count(DISTINCT doc_id) AS df FROM {d.explode(d.words('lower(text)'), 'documents')} GROUP BY w HAVING count(DISTINCT doc_id) >= 30"
-QUERIES["rare_keyword"] = lambda d: f"SELECT w AS word, count(DISTINCT doc_id) AS df FROM {d.explode(d.words('lower(text)'), 'documents')} WHERE w IN ('the', 'of', 'restor', 'thonre', 'whth', 'pathetic') GROUP BY w HAVING count(DISTINCT doc_id) < 0.02 * (SELECT count(*) FROM documents)"
-QUERIES["mode_median"] = lambda d: f"SELECT source, {d.median('n_chars')} AS median, max(n_chars) AS most FROM documents GROUP BY source"
 plain("set_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
 plain("set_union_all", "SELECT k, count(*) AS n FROM (SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer) t GROUP BY k")
 plain("set_intersect", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 plain("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 
 # Windows
-plain("number_jumps", "SELECT user_id, event_id, event_id - prev AS jump FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) t WHERE event_id - prev > 100")
-plain("section_ranges", "SELECT book, start, coalesce(lead(start) OVER (PARTITION BY book ORDER BY start) - 1, last) AS stop FROM (SELECT book, sequence AS start, last FROM (SELECT *, max(sequence) OVER (PARTITION BY book) AS last FROM pages_of) a WHERE contains(left(text, 60), 'the')) t")
-plain("local_median", "SELECT book, sequence, round(avg(l) OVER (PARTITION BY book ORDER BY sequence ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS before, round(avg(l) OVER (PARTITION BY book ORDER BY sequence ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 6) AS after FROM (SELECT book, sequence, CAST(length(text) AS BIGINT) AS l FROM pages_of) t")
 plain("block_offsets", "SELECT conv_id, turn, coalesce(sum(CAST(length(text) AS BIGINT) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations")
 plain("dedup_first", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) t WHERE r = 1")
-plain("ffill_labels", "SELECT book, sequence, max(CASE WHEN contains(left(text, 50), 'and') THEN sequence END) OVER (PARTITION BY book ORDER BY sequence) AS anchor FROM pages_of")
 plain("running_max", "SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM events")
 
 # Changes
-plain("cdc_diff", "SELECT coalesce(a.work_id, b.work_id) AS work_id, CASE WHEN a.work_id IS NULL THEN 'insert' WHEN b.work_id IS NULL THEN 'delete' ELSE 'update' END AS op FROM (SELECT work_id, title, featured_order FROM works WHERE subject <> 'Brand#11') a FULL OUTER JOIN (SELECT work_id, title, CASE WHEN subject = 'Brand#13' THEN featured_order + 1 ELSE featured_order END AS featured_order FROM works WHERE subject <> 'Brand#12') b ON a.work_id = b.work_id WHERE a.work_id IS NULL OR b.work_id IS NULL OR a.title IS DISTINCT FROM b.title OR a.featured_order IS DISTINCT FROM b.featured_order")
 plain("version_vector", "SELECT s.subject, greatest(coalesce(stamp, 0), coalesce(change, 0)) AS version, coalesce(n, 0) AS books FROM (SELECT subject, max(featured_order) AS stamp FROM works GROUP BY subject) s LEFT JOIN (SELECT subject, max(l_orderkey) AS change, count(*) FILTER (WHERE published) AS n FROM books JOIN works USING (work_id) GROUP BY subject) b ON b.subject = s.subject")
-plain("change_feed", "SELECT e.event_id AS seq, CASE WHEN p.user_id IS NULL THEN 'delete' ELSE 'upsert' END AS op, e.user_id FROM (SELECT * FROM events WHERE event_id > 300 ORDER BY event_id LIMIT 101) e LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') p ON p.user_id = e.user_id")
 QUERIES["feed_reset"] = lambda d: f"SELECT c AS cursor_text, TRY_CAST(c AS BIGINT) IS NULL OR TRY_CAST(c AS BIGINT) < 10 OR TRY_CAST(c AS BIGINT) > (SELECT max(event_id) FROM events) AS reset FROM (SELECT '5' AS c UNION ALL SELECT 'x' UNION ALL SELECT '200' UNION ALL SELECT '99999999' UNION ALL SELECT NULL) t"
-plain("horizon_filter", "SELECT event_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_type = 'error' AND event_id > 200)")
 QUERIES["tombstone_purge"] = lambda d: f"SELECT e.user_id, max(e.event_id) AS floor_seq FROM events e WHERE e.ts < (SELECT max(ts) FROM events) - INTERVAL 5 DAY AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase') GROUP BY e.user_id"
 plain("sync_pull", "SELECT event_id, user_id, event_type FROM events WHERE user_id = 5 AND event_id > 100 ORDER BY event_id LIMIT 51")
 QUERIES["lww_content"] = lambda d: f"SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id % 3 DESC, event_id DESC) AS r FROM events) t WHERE r = 1"
-QUERIES["lww_order"] = lambda d: f"SELECT user_id, {d.json('props', 'k')} AS k, max({d.micros('ts')}) AS at FROM events GROUP BY user_id, {d.json('props', 'k')}"
-QUERIES["sync_validate"] = lambda d: f"SELECT event_id, CASE WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'kind' WHEN octet_length(CAST(props AS {'BINARY' if d is Spark else 'BLOB'})) > 9 THEN 'data' ELSE 'ok' END AS status, lower(event_type) AS key_lower FROM events"
 plain("upsert_merge", "SELECT coalesce(t.work_id, s.work_id) AS work_id, coalesce(s.title, t.title) AS title, t.featured_order, CASE WHEN s.work_id IS NOT NULL AND t.work_id IS NOT NULL THEN 2 ELSE 1 END AS version FROM works t FULL OUTER JOIN (SELECT work_id + 50 AS work_id, upper(title) AS title FROM works) s ON s.work_id = t.work_id")
 plain("replace_children", "SELECT book, sequence, 'old' AS origin FROM pages_of WHERE book NOT IN ('src1', 'src2') UNION ALL SELECT book, sequence, 'new' FROM pages_of WHERE book IN ('src1', 'src2') AND lang = 'en'")
 QUERIES["etl_skip_unchanged"] = lambda d: f"SELECT a.doc_id, CASE WHEN b.sha = {d.sha256('a.text')} THEN 'skipped' ELSE 'ok' END AS status FROM documents a LEFT JOIN (SELECT doc_id, {d.sha256('text')} AS sha FROM documents WHERE lang = 'en') b ON b.doc_id = a.doc_id"
 QUERIES["etl_content_hash"] = lambda d: f"SELECT doc_id, {d.sha256('text')} AS sha FROM documents"
-QUERIES["etag"] = lambda d: f"SELECT work_id, {'sha1' if d is Spark else 'sha1'}(concat(CAST(p_partkey AS {d.text}), '|', p_name)) AS etag FROM (SELECT p_partkey AS work_id, * FROM part) t"
 plain("reindex_plan", "SELECT a.book, CASE WHEN b.book IS NULL THEN 'missing' WHEN a.n <> b.n THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT book, count(*) AS n FROM pages_of GROUP BY book) a LEFT JOIN (SELECT book, count(*) AS n FROM pages_of WHERE book <> 'src3' AND NOT (book = 'src4' AND sequence = 1) GROUP BY book) b ON b.book = a.book")
 plain("set_patch", "SELECT DISTINCT work_id FROM (SELECT work_id FROM works WHERE work_id <= 60 AND work_id NOT IN (5, 9) UNION ALL SELECT work_id FROM works WHERE work_id IN (70, 71, 4)) t")
 plain("version_scan", "SELECT a.work_id, CASE WHEN b.work_id IS NULL THEN 'new' WHEN a.n > b.n THEN 'updated' END AS kind FROM (SELECT work_id, count(*) AS n FROM books WHERE published GROUP BY work_id) a LEFT JOIN (SELECT work_id, count(*) AS n FROM books WHERE published AND volume < 5 GROUP BY work_id) b ON b.work_id = a.work_id WHERE b.work_id IS NULL OR a.n > b.n")
 plain("purge_blank", "SELECT conv_id, turn, CASE WHEN conv_id < 50 THEN '' ELSE text END AS text FROM conversations WHERE role <> 'system'")
-plain("claim_next", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY doc_id LIMIT 1")
 
 # Limits
 QUERIES["rate_trailing"] = lambda d: f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, user_id, {d.micros('ts')} AS us FROM events) t"
-QUERIES["rate_hour"] = lambda d: f"SELECT event_id, n > 2 AS limited, CASE WHEN n > 2 THEN 3600000000 - (us - oldest) END AS retry_us FROM (SELECT event_id, us, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT event_id, user_id, {d.micros('ts')} AS us FROM events) t WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)) x"
-QUERIES["quota_verdict"] = lambda d: f"SELECT user_id, day, n, CASE WHEN total > 400 THEN 'service' WHEN n > 3 THEN 'daily' WHEN errors > 1 THEN 'rate' ELSE 'ok' END AS verdict FROM (SELECT user_id, day, n, errors, sum(n) OVER (PARTITION BY day) AS total FROM (SELECT user_id, {d.day('ts')} AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id, {d.day('ts')}) a) b"
 QUERIES["outbox_step"] = lambda d: f"SELECT event_id, CASE WHEN attempts >= 4 THEN 'failed' WHEN event_type = 'error' THEN 'pending' ELSE 'sent' END AS status, CASE WHEN event_type = 'error' AND attempts < 4 THEN us + CASE attempts WHEN 1 THEN 60 WHEN 2 THEN 300 ELSE 1800 END * 1000000 END AS send_after FROM (SELECT event_id, event_type, event_id % 5 AS attempts, {d.micros('ts')} AS us FROM events ORDER BY event_id LIMIT 100) t"
-QUERIES["quiet_hours"] = lambda d: f"SELECT event_id, CASE WHEN h >= 22 THEN 32 - h WHEN h < 8 THEN 8 - h ELSE 0 END AS hours_to_wait FROM (SELECT event_id, {d.hour('ts')} AS h FROM events) t"
 QUERIES["daily_cap"] = lambda d: f"SELECT event_id, CASE WHEN n > 3 THEN us + 21600000000 ELSE us END AS send_at FROM (SELECT event_id, us, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, user_id, {d.micros('ts')} AS us FROM events WHERE event_type <> 'view') t) x"
-plain("digest", "SELECT u.user_id, count(DISTINCT e.event_type) AS news FROM (SELECT user_id, min(event_id) AS since FROM events GROUP BY user_id) u JOIN events e ON e.user_id = u.user_id AND e.event_id > u.since GROUP BY u.user_id")
-plain("retention", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
 plain("dedupe_key", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
-QUERIES["iso_ts"] = lambda d: f"SELECT event_id, {'date_format(ts, ' + chr(39) + 'yyyy-MM-dd' + chr(39) + ')' if d is Spark else 'strftime(ts, ' + chr(39) + '%Y-%m-%d' + chr(39) + ')'} AS day FROM events"
 
 # ETL
 plain("page_islands", "SELECT book, island, min(sequence) AS first, count(*) AS n FROM (SELECT book, sequence, sum(changed) OVER (PARTITION BY book ORDER BY sequence) AS island FROM (SELECT book, sequence, CASE WHEN lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY book ORDER BY sequence) THEN 1 ELSE 0 END AS changed FROM pages_of) a) b GROUP BY book, island")
 plain("front_split", "SELECT book, coalesce(min(CASE WHEN n < top THEN sequence END), 0) AS split FROM (SELECT book, sequence, n, max(n) OVER (PARTITION BY book ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT book, sequence, doc_id * 37 % 101 AS n FROM pages_of) a) b GROUP BY book")
-plain("page_number", "SELECT book, sequence, CASE WHEN sequence <= 3 THEN concat('0.', CAST(sequence AS {d.text})) ELSE CAST(sequence - 3 AS {d.text}) END AS page_number FROM pages_of")
-plain("book_summary", "SELECT book, count(*) AS pages, min(sequence) AS first, max(sequence) AS last, count(*) FILTER (WHERE length(text) < 50) AS blank FROM pages_of GROUP BY book")
-plain("natural_key", "SELECT title, subject, min(work_id) AS id, count(*) AS n FROM works GROUP BY title, subject")
-plain("lang_resolve", "SELECT doc_id, coalesce(CASE WHEN lang IN ('en', 'de') THEN lang END, CASE WHEN contains(text, ' la ') THEN 'fr' END, 'es') AS resolved FROM documents")
-plain("validate_issues", "SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN length(text) < 20 THEN 'no_content' END AS code FROM documents UNION ALL SELECT doc_id, CASE WHEN length(text) <> n_chars THEN 'length_mismatch' END FROM documents UNION ALL SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'bad_block' END FROM documents) t WHERE code IS NOT NULL")
-plain("page_checks", "SELECT book, sequence, kind FROM (SELECT book, sequence, kind, row_number() OVER (PARTITION BY book, kind ORDER BY sequence) AS r FROM (SELECT book, sequence, CASE WHEN l > 1.8 * a THEN 'long' WHEN l < 0.3 * a THEN 'short' END AS kind FROM (SELECT book, sequence, length(text) AS l, avg(length(text)) OVER (PARTITION BY book) AS a FROM pages_of) x) y WHERE kind IS NOT NULL) z WHERE r <= 40")
-QUERIES["coverage"] = lambda d: f"SELECT doc_id, round(CAST({d.size(d.words('text'))} AS DOUBLE) / length(text), 9) AS ratio FROM documents WHERE length(text) > 0"
 QUERIES["repeated_lines"] = lambda d: f"SELECT w AS line, count(DISTINCT doc_id) AS docs FROM {d.explode(('split(text, ' + chr(39) + chr(92) + 'n' + chr(39) + ')') if d is Spark else 'string_split(text, chr(10))', 'documents')} WHERE length(w) > 0 GROUP BY w HAVING count(DISTINCT doc_id) >= 2"
 QUERIES["ngram_anchors"] = lambda d: f"""WITH g AS (SELECT doc_id, i, w, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w3, lead(w, 3) OVER (PARTITION BY doc_id ORDER BY i) AS w4 FROM (SELECT doc_id, i, w FROM {d.explode(d.words('text'), 'documents')}) a),
 b AS (SELECT item_id, i, w, lead(w, 1) OVER (PARTITION BY item_id ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY item_id ORDER BY i) AS w3, lead(w, 3) OVER (PARTITION BY item_id ORDER BY i) AS w4 FROM (SELECT item_id, i, w FROM {d.explode(d.words('text'), 'benchmark')}) a),
 bk AS (SELECT concat_ws(' ', w, w2, w3, w4) AS k, min(item_id) AS item_id, min(i) AS i FROM b WHERE w4 IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
 gk AS (SELECT concat_ws(' ', w, w2, w3, w4) AS k, min(doc_id) AS doc_id, min(i) AS i FROM g WHERE w4 IS NOT NULL GROUP BY 1 HAVING count(*) = 1)
 SELECT bk.item_id, CAST(bk.i AS BIGINT) AS item_at, gk.doc_id, CAST(gk.i AS BIGINT) AS doc_at FROM bk JOIN gk ON bk.k = gk.k"""
-QUERIES["word_overlap"] = lambda d: f"SELECT a.item_id, b.item_id AS other, {d.size(d.intersect(d.distinct(d.words('lower(a.text)')), d.distinct(d.words('lower(b.text)'))))} AS shared FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 
 # Chat retrieval
 plain("history_lastk", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE length(trim(text)) > 0) t WHERE r <= 6")
 QUERIES["context_text"] = lambda d: f"SELECT conv_id, {d.agg(chr(39) + '[' + chr(39) + ' || role || ' + chr(39) + '] ' + chr(39) + ' || text', 'turn', '|')} AS context FROM conversations GROUP BY conv_id"
 plain("usage_rollup", "SELECT role, count(*) AS n, sum(CAST(length(text) AS BIGINT)) AS chars FROM conversations GROUP BY role")
-plain("rrf", "SELECT k, round(sum(CAST(1 AS DOUBLE) / (61 + rank)), 12) AS score FROM (SELECT doc_id AS k, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents UNION ALL SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 FROM documents WHERE lang = 'en') t GROUP BY k")
-QUERIES["merge_dedup"] = lambda d: f"SELECT doc_id FROM (SELECT doc_id, sig, row_number() OVER (PARTITION BY sig ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT doc_id, n_chars, left({d.replace('lower(text)', '[^\\p{L}\\p{N}_]', '')}, 200) AS sig FROM documents) a) b WHERE r = 1 OR sig = ''"
-plain("scope_fallback", "SELECT vec_id, label FROM (SELECT *, sum(CASE WHEN label = 3 THEN 1 ELSE 0 END) OVER () AS n FROM embeddings) t WHERE label = 3 OR n < 3")
 plain("meaning_filter", "SELECT vec_id FROM embeddings WHERE label IN (1, 2) AND vec_id IN (SELECT vec_id FROM embeddings WHERE vec_id < 200)")
-plain("rerank_apply", "SELECT DISTINCT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE lang = 'de') d JOIN (SELECT 3 AS pick, 0 AS position UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 2 UNION ALL SELECT 999999, 3) p ON p.pick = d.n")
 
 # Search over pages
-LINE = "concat(' ', {j}, ' ')"
-
-
-def line(d):
-    return f"line AS (SELECT book, sequence, doc_id, text, lower(text) AS norm, concat(' ', {d.join(d.words('lower(text)'))}, ' ') AS tok FROM pages_of)"
-
-
-QUERIES["phrase_search"] = lambda d: f"{base(d)}, {line(d)} SELECT book, sequence, doc_id FROM line WHERE contains(tok, ' of the ')"
-QUERIES["all_words"] = lambda d: f"{base(d)}, {line(d)} SELECT doc_id FROM line WHERE contains(tok, ' of ') AND contains(tok, ' the ') AND contains(tok, ' and ')"
-QUERIES["phrase_tf"] = lambda d: f"{base(d)}, {line(d)} SELECT doc_id, CAST((length(tok) - length(replace(tok, ' of the ', ' '))) / 7 AS BIGINT) AS n FROM line WHERE contains(tok, ' of the ')"
-QUERIES["book_order"] = lambda d: f"{base(d)} SELECT book_id, k, row_number() OVER (ORDER BY k, title, work_id, volume NULLS FIRST, book_id) AS position FROM (SELECT b.book_id, b.volume, w.work_id, w.title, CASE WHEN left(death_label, 1) = 'ق' THEN CAST({d.extract('death_label', '[0-9]+')} AS INT) * 100 - 50 WHEN death_label IS NOT NULL THEN CAST(death_label AS INT) ELSE 99999 END AS k FROM books b JOIN works w USING (work_id) JOIN authors a USING (author_id) WHERE published) t"
-QUERIES["search_full"] = lambda d: f"""{base(d)}, {line(d)}, hit AS (SELECT book, sequence, doc_id, text, {d.instr('norm', "'of the'")} AS pos FROM line WHERE contains(tok, ' of the ')),
-n AS (SELECT *, row_number() OVER (ORDER BY book, sequence) AS position, count(*) OVER () AS total FROM (SELECT *, substring(text, CAST(greatest(1, pos - 90) AS INT), 186) AS snippet FROM hit) x) SELECT book, sequence, doc_id, snippet, position, CASE WHEN total > 1000 THEN greatest(1000, total) ELSE total END AS total FROM n WHERE position <= 50"""
-QUERIES["total_compat"] = lambda d: f"{base(d)}, {line(d)} SELECT w, CASE WHEN n > 1000 THEN greatest(1000, n) ELSE n END AS total FROM (SELECT 'the' AS w, count(*) AS n FROM line WHERE contains(tok, ' the ') UNION ALL SELECT 'la', count(*) FROM line WHERE contains(tok, ' la ')) t"
-QUERIES["hit_decorate"] = lambda d: f"{base(d)}, {line(d)} SELECT l.doc_id, l.book, s.langs, count(*) OVER () AS total FROM line l JOIN (SELECT book, {d.agg('lang', 'lang')} AS langs FROM (SELECT DISTINCT book, lang FROM pages_of) a GROUP BY book) s ON s.book = l.book WHERE contains(tok, ' in the ')"
-QUERIES["tokenize_index"] = lambda d: f"SELECT w AS term, doc_id, count(*) AS n, min(i) + 0 AS first FROM {d.explode(d.words('lower(text)'), 'documents')} WHERE w IN ('the', 'of', 'la', 'und', 'de') GROUP BY w, doc_id"
-QUERIES["postings_fold"] = lambda d: f"SELECT translate(w, 'éèê', 'eee') AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {d.explode(d.words('lower(text)'), 'documents')} WHERE length(w) <= 3 GROUP BY translate(w, 'éèê', 'eee')"
 QUERIES["page_text"] = lambda d: f"SELECT conv_id, {d.agg('text', 'turn', ' / ')} AS text FROM conversations GROUP BY conv_id"
-QUERIES["toc_prefix"] = lambda d: f"SELECT page_id FROM (SELECT page_id, {d.words('lower(' + d.extract('html', '<h1[^>]*>([^<]*)', 1) + ')')} AS ws FROM pages) t WHERE {d.any_of('ws', 'w', chr(39) + 'th' + chr(39) + ' = left(w, 2)')} AND {d.any_of('ws', 'w', chr(39) + 'a' + chr(39) + ' = left(w, 1)')}"
-QUERIES["toc_rank"] = lambda d: f"SELECT page_id, row_number() OVER (ORDER BY CASE WHEN contains(h, 'the') THEN 0 ELSE 1 END, CASE WHEN left(h, 3) = 'the' THEN 0 ELSE 1 END, length(h), page_id) AS position, count(*) OVER () AS total FROM (SELECT page_id, lower({d.extract('html', '<h1[^>]*>([^<]*)', 1)}) AS h FROM pages) t WHERE contains(h, 'th')"
-QUERIES["toc_cap"] = lambda d: f"SELECT page_id, n >= 20 AS capped FROM (SELECT page_id, count(*) OVER () AS n FROM (SELECT page_id FROM pages WHERE contains(html, '<h1') ORDER BY page_id LIMIT 20) a) b"
-
-# Text functions
-QUERIES["clean_marks"] = lambda d: f"SELECT doc_id, trim({d.replace('text', '[ \\t\\r\\n\\f]+', ' ')}) AS text FROM documents"
-QUERIES["first_int"] = lambda d: f"SELECT event_id, TRY_CAST({d.extract('props', '[0-9]+')} AS BIGINT) AS n FROM events"
-QUERIES["printed_number"] = lambda d: f"SELECT work_id, coalesce(TRY_CAST({d.extract('t', '^[0-9]+')} AS BIGINT), TRY_CAST({d.extract('t', '[0-9]+$')} AS BIGINT)) AS n FROM (SELECT p_partkey AS work_id, p_brand AS t FROM part) x"
-QUERIES["title_of"] = lambda d: f"SELECT conv_id, turn, CASE WHEN length(t) > 60 THEN concat(rtrim(substring(t, 1, 59)), '…') ELSE t END AS title FROM (SELECT conv_id, turn, trim({d.replace('text', '[ \\t\\r\\n\\f]+', ' ')}) AS t FROM conversations) x"
-QUERIES["email_norm"] = lambda d: f"SELECT c_custkey, lower(trim(concat(' ', c_name, '@Example.com '))) AS email, {d.like('lower(c_name)', '^[a-z0-9#]+$')} AS valid FROM customer"
-QUERIES["rule_classify"] = lambda d: f"SELECT p_partkey, CASE WHEN {d.like('p_type', '^STANDARD')} THEN 'a' WHEN {d.like('p_type', 'BRASS$|TIN$')} THEN 'b' ELSE 'misc' END AS class, NOT {d.like('p_type', '^STANDARD|BRASS$|TIN$')} AS review FROM part"
-QUERIES["array_agg_order"] = lambda d: f"SELECT s_nationkey, {d.agg('s_name', 's_name')} AS names FROM supplier GROUP BY s_nationkey"

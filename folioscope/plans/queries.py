@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import folds, postings, search, vectors, windows
+from ..operators import folds, search, vectors
 from ..sources.tables import read, views
-from . import books, catalog
+from . import books, catalog, find, rules
 from .dialect import Duck, Spark
 
 
@@ -53,14 +53,9 @@ QUERIES |= {"normalize": normalize, "order_key": order_key}
 QUERIES |= {
     "vector_topk": lambda spark, d: vectors.topk(read(spark, d, "embeddings").filter("vec_id % 50 = 0"), read(spark, d, "embeddings"), 5),
     "vector_lsh": lambda spark, d: vectors.lsh_topk(read(spark, d, "embeddings").filter("vec_id % 50 = 0"), read(spark, d, "embeddings"), 5),
-    "snippet": lambda spark, d: search.snippets(read(spark, d, "documents"), "of the"),
-    "passage": lambda spark, d: search.snippets(read(spark, d, "documents"), "of the", 650),
     "name_core": lambda spark, d: read(spark, d, "customer").select("c_custkey", T.name_core(F.lower(F.concat(F.lit("Dr Sir "), "c_name")), ["dr", "sir"]).alias("core")),
     "point_id": lambda spark, d: search.point_ids(read(spark, d, "documents")),
-    "chunk_pages": lambda spark, d: search.chunks(read(spark, d, "documents")),
-    "index_postings": lambda spark, d: postings.postings(postings.page_index(read(spark, d, "documents"))),
-    "fold_postings": lambda spark, d: postings.postings(postings.fold_index(postings.page_index(read(spark, d, "documents")))),
-    "neighbour_median": lambda spark, d: windows.neighbour_median(read(spark, d, "documents")),
+    "chunk_pages": lambda spark, d: search.chunks(read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("book"), F.col("doc_id").alias("sequence"), F.array(F.struct(F.lit("heading").alias("type"), F.substring("text", 1, 20).alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("footnotes").alias("type"), F.lit("left out").alias("text"))).alias("blocks"))),
     "sync_merge": lambda spark, d: folds.sync_merge(read(spark, d, "events")),
     "rate_fold": lambda spark, d: folds.rate_fold(read(spark, d, "events")),
     "lis_chain": lambda spark, d: folds.lis_chain(read(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("x"), F.col("value").alias("y"))),
@@ -72,3 +67,7 @@ SQL["vector_topk"] = """SELECT query, vec_id, score, rank FROM (SELECT q.vec_id
 
 QUERIES |= books.QUERIES
 SQL |= books.SQL
+QUERIES |= find.QUERIES
+SQL |= find.SQL
+QUERIES |= rules.QUERIES
+SQL |= rules.SQL

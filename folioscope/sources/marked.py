@@ -26,9 +26,12 @@ METADATA = {
     "سنة الوفاة": "authorDeath", "مجموعة": "collection", "جزء": "volume", "تحقيق": "editor", "طبعة": "edition", "سنة الطبع": "publicationYear", "مطبعة": "printer",
     "الناشر": "publisher", "ردمك": "isbn", "ملاحظات الهوية": "notes", "ملف مرفق": "attachedFile", "تطابق الصفحات": "pageMatched", "التاريخ": "sourceDate", "موثوق": "trusted",
 }
+#: Keys whose value is a boolean, and the word that means true.
+BOOLEANS, TRUE = {"pageMatched", "trusted"}, "1"
 TAG = re.compile(r"<[^\S\n]*(/?)[^\S\n]*([^<>\n]+?)[^\S\n]*>")
 HEADER = re.compile(r"<\s*([^<>/]+?)\s*>\s*(.*?)\s*<\s*/\s*\1\s*>")
 CROSS_REFERENCE = re.compile(r" ?<\s*/?\s*ارتباط\s*=\s*\d+\s*> ?")
+#: Fixed value: a label that is a number, with or without a note in brackets.
 NUMERIC = re.compile(r"\d+(\s*\(.*\))?$")
 
 
@@ -134,7 +137,7 @@ def parse(raw: bytes, book_id: str) -> dict:
         p["pageNumber"] = f"0.{i + 1}" if i < front else str(p["sequence"] if p["printedPage"] is None else p["printedPage"])
     for entry in toc:
         entry["pageNumber"] = pages[int(entry["pageId"][2:]) - 1]["pageNumber"]
-    metadata = {k: tags[t] for t, k in METADATA.items() if tags.get(t)}
+    metadata = {k: tags[t].strip() == TRUE if k in BOOLEANS else tags[t] for t, k in METADATA.items() if tags.get(t)}
     return {"schemaVersion": 2, "bookId": book_id, "title": tags.get(TITLE, ""), "author": tags.get(AUTHOR, ""), "metadata": metadata, "pages": pages, "toc": toc}
 
 
@@ -159,3 +162,44 @@ def read_marked(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """All files of a folder; the id of a book is the file's stem."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return parse_files(files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book_id"), "content"))
+
+
+STEM = r"([^/]+?)(?:\.[^./]*)?$"
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*", ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """path, book_id, size of the files of a folder; contents are not read.
+
+    With ids, the files whose stem is one of them, in order of the path; else all in order of the stem as a number, what
+    is no number first. A limit keeps the first.
+    """
+    stem = F.regexp_extract("path", STEM, 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", stem.alias("book_id"), F.col("length").alias("size"))
+    if ids:
+        files = files.filter(F.col("book_id").isin([i.strip() for i in ids])).orderBy("path")
+    else:
+        files = files.orderBy(F.coalesce(F.when(F.col("book_id").rlike("^[0-9]+$"), F.col("book_id").try_cast("long")), F.lit(0)), "path")
+    return files.limit(limit) if limit else files
+
+
+def headers(files: DataFrame, lines: int = 200, head: int = 1 << 16) -> DataFrame:
+    """book_id, tags, error for files (book_id, content): header tags within the first lines, without a look at the body.
+
+    Only the head of a file is sent to Python; a character that it cuts in two is left out.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for book_id, raw, whole in zip(pdf["book_id"], pdf["head"], pdf["whole"], strict=True):
+                try:
+                    raw = bytes(raw or b"")
+                    text = decode(raw if whole else raw[: raw.rfind(b"\n") + 1])
+                    tags, _ = header("\n".join(text.split("\n")[:lines]))
+                    rows.append((book_id, tags, None))
+                except SourceError as e:
+                    rows.append((book_id, {}, e.stage))
+            yield pd.DataFrame(rows, columns=["book_id", "tags", "error"])
+
+    own = files.select(F.col("book_id").cast("string").alias("book_id"), F.substring("content", 1, head).alias("head"), (F.octet_length("content") <= head).alias("whole"))
+    return own.mapInPandas(run, "book_id string, tags map<string,string>, error string")

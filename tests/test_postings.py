@@ -31,15 +31,6 @@ def test_postings_hold_every_term_and_place(spark, sf):
     assert postings.postings(postings.page_index(made.limit(0))).collect() == []
 
 
-def test_postings_query_goes_beyond_the_sample(spark, sf):
-    import __spark_entry__ as entry
-
-    whole = held(entry.queries()["index_postings"](spark, sf))
-    sample = entry.queries()["tokenize_index"](spark, sf).collect()
-    assert sample and all((len(whole[r.term, r.doc_id]), whole[r.term, r.doc_id][0]) == (r.n, r["first"]) for r in sample)
-    assert len({t for t, _ in whole}) > len({r.term for r in sample})
-
-
 def test_fold_merges_the_positions_of_equal_terms(spark, sf):
     fold = lambda w: w.translate(str.maketrans("éèê", "eee"))
     made = spark.createDataFrame(CASES, "doc_id long, text string")
@@ -48,15 +39,3 @@ def test_fold_merges_the_positions_of_equal_terms(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = held(postings.postings(postings.fold_index(postings.page_index(docs))))
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], fold)
-
-
-def test_fold_query_goes_beyond_the_sample(spark, sf):
-    import __spark_entry__ as entry
-
-    count, pages = defaultdict(int), defaultdict(int)
-    for (term, _), at in held(entry.queries()["fold_postings"](spark, sf)).items():
-        count[term] += len(at)
-        pages[term] += 1
-    sample = entry.queries()["postings_fold"](spark, sf).collect()
-    assert sample and all((count[r.term], pages[r.term]) == (r.n, r.docs) for r in sample)
-    assert any(len(t) > 3 for t in count)

@@ -30,4 +30,4 @@ def test_median_query(spark, sf):
     import __spark_entry__ as entry
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    assert {(r.book, r.sequence): r.local for r in entry.queries()["neighbour_median"](spark, sf).collect()} == brute([(r.doc_id, r.source, r.text) for r in docs])
+    assert {(r.book, r.sequence): r.local for r in entry.queries()["local_median"](spark, sf).collect()} == brute([(r.doc_id, r.source, r.text) for r in docs])
