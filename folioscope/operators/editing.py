@@ -275,6 +275,23 @@ def located(place: int, chain: list[tuple[int, int]], a: list[str], b: list[str]
     return lo[1] + min(after, len(right)), False
 
 
+def placed(books: DataFrame) -> DataFrame:
+    """book, place, at, exact: the place of each word of a among those of b. books: book, a, b (word arrays), chain (pairs x, y).
+
+    A book is one task's work; between two known places only the words between them are compared.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for book, a, b, chain in zip(pdf["book"], pdf["a"], pdf["b"], pdf["chain"], strict=True):
+                known = sorted((c["x"], c["y"]) for c in chain)
+                out += [(book, i, *located(i, known, list(a), list(b))) for i in range(len(a))]
+            yield pd.DataFrame(out, columns=["book", "place", "at", "exact"])
+
+    return books.select("book", "a", "b", "chain").mapInPandas(run, "book string, place long, at long, exact boolean")
+
+
 def page_map(book: DataFrame, scan: DataFrame, n: int = 3) -> DataFrame:
     """page, scan_page, score: the scanned page that shares most n-grams with each page, moved into step with its neighbours.
 

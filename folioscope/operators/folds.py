@@ -126,22 +126,24 @@ def sync_merge(events: DataFrame) -> DataFrame:
 
 
 def rate_fold(events: DataFrame, limit: int = 2, span: int = 3_600_000_000) -> DataFrame:
-    """Calls let through: a refused call does not count against later ones."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"])
-        recent: deque[int] = deque()
-        ok = []
-        for us in pdf["us"]:
-            while recent and recent[0] <= us - span:
-                recent.popleft()
-            ok.append(len(recent) < limit)
-            if ok[-1]:
-                recent.append(us)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": ok})
+    """Calls let through: a refused call does not count against later ones. What is held is the times of at most limit calls."""
+
+    def fold(batches):
+        user, recent = None, deque()
+        for pdf in batches:
+            ok = []
+            for who, us in zip(pdf["user_id"].tolist(), pdf["us"].tolist(), strict=True):
+                if who != user:
+                    user, recent = who, deque()
+                while recent and recent[0] <= us - span:
+                    recent.popleft()
+                ok.append(len(recent) < limit)
+                if ok[-1]:
+                    recent.append(us)
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": ok})
 
     e = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return e.groupBy("user_id").applyInPandas(fold, "event_id long, allowed boolean")
+    return e.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInPandas(fold, "event_id long, allowed boolean")
 
 
 def longest_rising(values: list[float]) -> list[int]:

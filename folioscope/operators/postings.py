@@ -41,3 +41,8 @@ def fold_index(index: DataFrame, of: str = "éèê", to: str = "eee") -> DataFra
     """index with the letters of `of` in its terms written as those of `to`; terms of a page that become equal merge their positions."""
     pairs = F.transform("postings", lambda p: F.struct(F.translate(p["term"], of, to).alias("term"), p["positions"].alias("at")))
     return index.select("doc_id", _runs(pairs, lambda ats: F.when(F.size(ats) == 1, F.get(ats, F.lit(0))).otherwise(F.sort_array(F.flatten(ats)))).alias("postings"))
+
+
+def stored(rows: DataFrame, path: str) -> None:
+    """Writes postings in order of the term, so that a query's few terms are found by the bounds that Parquet keeps of each row group."""
+    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)

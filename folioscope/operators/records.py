@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -70,6 +70,38 @@ def settled(log: DataFrame, running: DataFrame) -> DataFrame:
     return log.crossJoin(first).filter(F.col("_first").isNull() | (F.col("writer") < F.col("_first"))).drop("_first")
 
 
+def latest(log: DataFrame, column: str = "seq") -> DataFrame:
+    """The greatest number of a log, 0 for an empty one."""
+    return log.agg(F.coalesce(F.max(column), F.lit(0)).alias(column))
+
+
+def published(rows: DataFrame, path: str) -> None:
+    """Writes rows beside the version of a table that is read, then lets readers have them by one rename.
+
+    A run that fails before it leaves readers what they had. Versions that were in place before the last are removed.
+    """
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda name: hadoop.Path(f"{path}/{name}")
+    fs = at("x").getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(x.getPath().getName() for x in fs.listStatus(hadoop.Path(path))) if fs.exists(hadoop.Path(path)) else []
+    done = [x for x in old if x.startswith("v") and x[1:].isdigit()]
+    number = 1 + max((int(x[1:]) for x in done), default=0)
+    rows.write.mode("overwrite").parquet(f"{path}/new-{number:09d}")
+    if not fs.rename(at(f"new-{number:09d}"), at(f"v{number:09d}")):
+        raise OSError(f"{path}: version {number} is there already")
+    for name in done[:-1]:
+        fs.delete(at(name), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that was published last."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(hadoop.Path(path))]
+    return spark.read.parquet(f"{path}/{max(x for x in names if x.startswith('v') and x[1:].isdigit())}")
+
+
 def checked_push(items: DataFrame, now_us: int) -> DataFrame:
     """items (kind, key, data, deleted, updated_us, moved_us) with status, key_lower, and times that lie too far ahead set to now.
 

@@ -106,12 +106,15 @@ def located(spark, sf_dir):
 QUERIES = {
     "src_decode": src_decode, "parse_header": parse_header, "parse_body": parse_body, "import_log": import_log, "src_book_json": src_book_json, "paginate": paginate, "book_issues": book_issues,
     "vec_decode_f16": vec_decode_f16, "meaning_search": meaning_search, "overlap_score": overlap_score, "snippet_locate": located,
-    "strip_names": lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", names.strip_names(F.col("text"), ["of the", "the"]).alias("rest")),
     "lang_strip": lambda spark, d: read(spark, d, "part").select("p_partkey", *[c.alias(a) for c, a in zip(names.lang_strip(F.concat("p_name", F.lit(" ، عربي"))), ("clean", "hint"), strict=True)]),
     "honorific_spell": lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(names.honorific_spell(F.col("text"))).alias("text_md5")),
 }
 
 SQL = {
+    "src_decode": """SELECT doc_id AS book_id, md5('sum' || chr(10) || '< اسم الكتاب > ' || source || ' < / اسم الكتاب >' || chr(10) || '< طبعة > ' || lang || ' < / طبعة >' || chr(10) || '< الكتاب >' || chr(10) || '< صفحة > ' || doc_id % 7 || ' < / صفحة >' || chr(10)
+      || coalesce(text, '') || chr(10) || CASE WHEN doc_id % 11 = 0 THEN '< هامش > open' ELSE '< / الكتاب >' END) AS text_md5 FROM documents""",
+    "snippet_locate": r"""WITH d AS (SELECT doc_id, text, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS line FROM documents)
+      SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)^((?:.*?[^\p{L}\p{N}_])??)of\s+the(?:$|[^\p{L}\p{N}_])') THEN length(regexp_extract(text, '(?is)^((?:.*?[^\p{L}\p{N}_])??)of\s+the(?:$|[^\p{L}\p{N}_])', 1)) END AS start FROM d WHERE contains(' ' || line || ' ', ' of the ')""",
     "parse_header": "SELECT doc_id AS book_id, source AS title, lang AS edition FROM documents WHERE doc_id % 11 <> 0",
     "import_log": "SELECT doc_id AS book_id, doc_id % 11 <> 0 AS ok, CASE WHEN doc_id % 11 = 0 THEN 'body' END AS stage FROM documents",
     "src_book_json": "SELECT conv_id, count(*) AS n_pages FROM conversations GROUP BY conv_id",

@@ -53,7 +53,6 @@ QUERIES |= {"normalize": normalize, "order_key": order_key}
 QUERIES |= {
     "vector_topk": lambda spark, d: vectors.topk(read(spark, d, "embeddings").filter("vec_id % 50 = 0"), read(spark, d, "embeddings"), 5),
     "vector_lsh": lambda spark, d: vectors.lsh_topk(read(spark, d, "embeddings").filter("vec_id % 50 = 0"), read(spark, d, "embeddings"), 5),
-    "name_core": lambda spark, d: read(spark, d, "customer").select("c_custkey", T.name_core(F.lower(F.concat(F.lit("Dr Sir "), "c_name")), ["dr", "sir"]).alias("core")),
     "point_id": lambda spark, d: search.point_ids(read(spark, d, "documents")),
     "chunk_pages": lambda spark, d: search.chunks(read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("book"), F.col("doc_id").alias("sequence"), F.array(F.struct(F.lit("heading").alias("type"), F.substring("text", 1, 20).alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("footnotes").alias("type"), F.lit("left out").alias("text"))).alias("blocks"))),
     "sync_merge": lambda spark, d: folds.sync_merge(read(spark, d, "events")),
@@ -61,7 +60,7 @@ QUERIES |= {
     "lis_chain": lambda spark, d: folds.lis_chain(read(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("x"), F.col("value").alias("y"))),
 }
 
-SQL = {k: f(Duck) for k, f in catalog.QUERIES.items()} | {"normalize": NORMALIZE_SQL, "order_key": ORDER_KEY_SQL, "name_core": "SELECT c_custkey, lower(c_name) AS core FROM customer"}
+SQL = {k: f(Duck) for k, f in catalog.QUERIES.items()} | {"normalize": NORMALIZE_SQL, "order_key": ORDER_KEY_SQL}
 SQL["vector_topk"] = """SELECT query, vec_id, score, rank FROM (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings v ON true) t WHERE rank <= 5"""
 

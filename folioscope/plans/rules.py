@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import editing as E
@@ -165,6 +166,7 @@ def _joined(index):
 # Text
 
 LABELS = ("١٢ هـ", "سنة ٤٠٠", "12 b 7", "b 7", "x", "", "۱۴۰۲", "7 ", " 9x3", "300-310")
+HONOURED = ("الشيخ المفيد", "السيد الشيخ محمد باقر", "الشيخ", "العلامة الحلي", "محمد الشيخ", "آية الله")
 VERSES = ("الْعِلْمُ   نُـــورٌ", "قَالَ\tرَبِّ", "  plain  text ", "")
 
 
@@ -200,6 +202,19 @@ def title_of(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.title_of(F.col("text")).alias("title"))
 
 
+@query(f"SELECT * FROM (VALUES (0, 'المفيد'), (1, 'محمد باقر'), (2, 'الشيخ'), (3, 'الحلي'), (4, 'محمد الشيخ'), (5, 'ايه الله')) v(i, core) UNION ALL SELECT c_custkey + 10, lower(c_name) FROM customer")
+def name_core(spark, d):
+    titles = [names.plain(t) for t in names.TITLES]
+    both = _strings(spark, HONOURED).unionByName(read(spark, d, "customer").select((F.col("c_custkey") + 10).alias("i"), F.concat(F.lit("الشيخ "), "c_name").alias("t")))
+    return both.select("i", T.name_core(T.normalize(F.col("t")), titles).alias("core"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations), f AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}_]', '', 'g')) AS f FROM w)
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(f[i] = 'the' OR (f[i] = 'of' AND f[i + 1] = 'the'), false)), lambda i: w[i]), ' ') AS rest FROM f""")
+def strip_names(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", names.strip_names(F.col("text"), ["of the", "The"]).alias("rest"))
+
+
 MAILS = (" Jane@Example.COM ", "a@b", "a b@c.de", "@c.de", "x@y.z.", "ok.name+tag@sub.domain.org", "two@@at.org", "")
 
 
@@ -553,6 +568,12 @@ def claim_next(spark, d):
     return R.next_claim(p, p.filter("nth <= 5"), p.filter("nth % 4 = 0"), claims, 3 * R.HOUR + 1)
 
 
+@query("SELECT 'all' AS of, coalesce(max(event_id), 0) AS seq FROM events UNION ALL SELECT 'none', 0")
+def latest_seq(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id").alias("seq"))
+    return R.latest(e).select(F.lit("all").alias("of"), "seq").unionByName(R.latest(e.filter("seq < 0")).select(F.lit("none").alias("of"), "seq"))
+
+
 # Limits and notices
 
 _CALLS = "c AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id AS email, user_id % 4 AS ip FROM events)"

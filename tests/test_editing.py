@@ -123,3 +123,16 @@ def test_rotation_and_names(spark):
     assert found("المُفيد", 5) == [2] and found("الشيخ المفيد", 5) == [1] and found("الشيخ ابن", 5) == [3]
     assert found("ab", 5) == [] and found("الشيخ المفيد بن", 5) == []
     assert catalog.strings(F.lit("x"), 2) is not None
+
+
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (3, 5, 0, 7):
+        records.published(spark.range(n), path)
+        assert records.current(spark, path).count() == n
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v")]) == 2
+
+
+def test_places_of_words(spark):
+    books = spark.createDataFrame([("b", ["x", "y", "z", "q"], ["x", "k", "y", "z"], [(0, 0)]), ("e", [], ["x"], [])], "book string, a array<string>, b array<string>, chain array<struct<x:int,y:int>>")
+    assert [tuple(r) for r in editing.placed(books).collect()] == [("b", 0, 0, True), ("b", 1, 2, True), ("b", 2, 3, True), ("b", 3, 4, False)]

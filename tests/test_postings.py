@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from folioscope.operators import postings
+from folioscope.operators import postings, search
 
 
 def brute(rows, fold=lambda w: w):
@@ -39,3 +39,20 @@ def test_fold_merges_the_positions_of_equal_terms(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = held(postings.postings(postings.fold_index(postings.page_index(docs))))
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], fold)
+
+
+def test_phrases_on_a_stored_index(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    postings.stored(postings.postings(postings.page_index(docs)), str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    line = search.indexed(docs)
+    for item in spark.read.parquet(f"{sf}/benchmark.parquet").limit(12).collect():
+        phrase = " ".join(item.text.split()[3:6])
+        want = {r.doc_id: r.n for r in search.phrase_pages(line, phrase).select("doc_id", search.occurrences(line["line"], phrase).alias("n")).collect()}
+        assert {r.doc_id: r.n for r in search.postings_phrase(index, phrase).collect()} == want
+    # a word that comes twice, and a phrase that overlaps itself
+    own = search.indexed(spark.createDataFrame([(1, "a a a b"), (2, "a b a"), (3, "")], "doc_id long, text string"))
+    made = postings.postings(postings.page_index(own.select("doc_id", "text")))
+    for phrase in ("a a", "a b a", "b", "a b"):
+        want = {r.doc_id: r.n for r in search.phrase_pages(own, phrase).select("doc_id", search.occurrences(own["line"], phrase).alias("n")).collect()}
+        assert {r.doc_id: r.n for r in search.postings_phrase(made, phrase).collect()} == want, phrase

@@ -16,8 +16,8 @@ def db(sf):
 
 #: Queries that SQL does not express, and the test that holds each against another way.
 NO_SQL = {
-    "vector_lsh": "test_functions", "chunk_pages": "test_functions", "rate_fold": "test_functions", "lis_chain": "test_functions", "snippet_locate": "test_functions", "sync_merge": "test_merge",
-    "src_decode": "test_sources", "parse_body": "test_sources", "vec_decode_f16": "test_functions", "strip_names": "test_sources", "honorific_spell": "test_sources",
+    "vector_lsh": "test_functions", "chunk_pages": "test_functions", "rate_fold": "test_functions", "lis_chain": "test_functions", "sync_merge": "test_merge",
+    "parse_body": "test_sources", "vec_decode_f16": "test_functions", "honorific_spell": "test_sources",
     "contents_run": "test_editing", "anchor_chain": "test_editing", "fuzzy_headings": "test_editing", "page_map": "test_editing",
 }
 
