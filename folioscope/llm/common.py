@@ -37,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="folioscope-")
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def free(spark: SparkSession) -> None:
     """Lets go of shuffle files of finished steps.
 
@@ -52,6 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        # the folder that Spark made there for this application goes when the driver's JVM ends
+        gone_at_end(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     out = df.checkpoint(eager=True)
     free(spark)
     return out
@@ -62,8 +69,7 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folioscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gone_at_end(spark, path)
     free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
