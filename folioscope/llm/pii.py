@@ -340,7 +340,10 @@ def fitted(found: DataFrame, threshold: float = ACCEPT, max_fit: int = MAX_FIT)
     each = found.select("doc_id", F.explode("spans").alias("s"))
     counts = {r["p"]: r["n"] for r in each.groupBy(F.col("s.pattern").alias("p")).agg(F.count("*").alias("n")).collect()}
     soft = estimate(counts) if counts else {}
-    sample = each.select(F.col("s.pattern").alias("p"), F.col("s.features").alias("f"), F.xxhash64("doc_id", "s.start", "s.kind").alias("h"), "doc_id", F.col("s.start").alias("at")).orderBy("h", "doc_id", "at", "p").limit(max_fit).collect()
+    # a share by hash that holds somewhat more than max_fit goes to the driver, whatever the number of tasks
+    share = min(1.0, (1.1 * max_fit + 1000) / max(1, sum(counts.values())))
+    own = each.select(F.col("s.pattern").alias("p"), F.col("s.features").alias("f"), F.xxhash64("doc_id", "s.start", "s.kind").alias("h"), "doc_id", F.col("s.start").alias("at"))
+    sample = own.filter(F.shiftrightunsigned("h", 32) < int(share * (1 << 32))).orderBy("h", "doc_id", "at", "p").limit(max_fit).collect()
     return Model(train([r["f"] for r in sample], np.array([soft[r["p"]] for r in sample])), threshold)
 
 
