@@ -27,8 +27,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def _plain(text: Column) -> Column:
-    """Whether a text is ASCII, so that there are no marks or letters to fold."""
-    return F.octet_length(text) == F.length(text)
+    """Whether a text has Latin letters and signs alone (below U+0300), among which nothing is composed, dropped or folded."""
+    return ~text.rlike("[^\\x{0}-\\x{2ff}]")
 
 
 def fold(text: Column) -> Column:
@@ -43,7 +43,7 @@ COMPOSING = "[\\p{M}\u0340-\u0345\u0374\u037e\u0387\u1100-\u11ff\u1f71-\u1ffd\u2
 
 def composed(text: Column) -> Column:
     """A text in composed form. Only texts that composing may change are sent to Python; null stays null."""
-    return F.coalesce(nfc(F.when(text.rlike(COMPOSING), text)), text)
+    return F.coalesce(nfc(F.when(~_plain(text) & text.rlike(COMPOSING), text)), text)
 
 
 def normalize(text: Column) -> Column:
