@@ -180,19 +180,23 @@ def agreeing(anchors: list[tuple[int, int]], empty: list[int], skip: int = SKIP)
     From one to the next, neither falls, the file runs ahead of the numbers by empty pages between at most, and the numbers
     ahead of the file by skip at most.
     """
-    best: list[tuple[int, int]] = []  # (length of the chain that ends here, the anchor before it)
-    for j, (s, n) in enumerate(anchors):
-        own = (1, -1)
-        for i, (a, m) in enumerate(anchors[:j]):
-            spare = empty[s - 1] - empty[a] if s > a else 0
-            if s >= a and n >= m and (s > a or n == m) and -skip <= (s - a) - (n - m) <= spare and best[i][0] + 1 > own[0]:
-                own = (best[i][0] + 1, i)
-        best.append(own)
-    out, j = [], max(range(len(best)), key=lambda k: (best[k][0], -k), default=-1)
-    while j >= 0:
-        out.append(anchors[j])
-        j = best[j][1]
-    return out[::-1]
+
+    def follows(a: tuple[int, int], b: tuple[int, int]) -> bool:
+        pages, numbers = b[0] - a[0], b[1] - a[1]
+        if pages <= 0 or numbers < 0:
+            return pages == numbers == 0
+        return numbers - skip <= pages <= numbers + empty[b[0] - 1] - empty[a[0]]
+
+    # for each anchor the longest chain that ends with it: its length, the anchor, and the chain before it
+    chains: list[tuple] = []
+    for anchor in anchors:
+        before = max((c for c in chains if follows(c[1], anchor)), key=lambda c: c[0], default=None)
+        chains.append((1 + (before[0] if before else 0), anchor, before))
+    longest, out = max(chains, key=lambda c: c[0], default=None), []
+    while longest:
+        out.insert(0, longest[1])
+        longest = longest[2]
+    return out
 
 
 def steady(anchors: DataFrame, pages: DataFrame) -> DataFrame:

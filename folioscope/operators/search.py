@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -220,21 +221,24 @@ def chunk_words(blocks: list[tuple[str, list[str]]], size: int = SIZE, overlap:
         if end - new >= least:
             out.append(words[begin:end])
 
-    ends = [w.endswith(ENDS) for w in words]
-    at = 0
+    # places right after the ends of sentences
+    sentences = [i for i, w in enumerate(words, 1) if w.endswith(ENDS)]
+
+    def last_sentence(after: int, upto: int) -> int | None:
+        k = bisect_right(sentences, upto)
+        return sentences[k - 1] if k and sentences[k - 1] > after else None
+
     for stop in sorted({*breaks, len(words)}):
         # all words up to the next heading, or to the end, belong together
         while stop - begin > size:
-            cut = next((i for i in range(begin + size, begin + int(size * 0.55), -1) if ends[i - 1]), begin + size)
-            # a block's words come in whole, so only a full piece is cut
+            cut = last_sentence(begin + int(size * 0.55), begin + size) or begin + size
             close(cut)
-            lo = max(begin, cut - overlap)
-            sentence = next((i for i in range(cut - 1, lo, -1) if ends[i - 1]), None)
-            begin, new = sentence if sentence is not None and cut - sentence >= 5 else lo, cut
-        at = stop
-        if at in breaks and at - new >= heading:
-            close(at)
-            begin = new = at
+            again = max(begin, cut - overlap)
+            sentence = last_sentence(again, cut - 1)
+            begin, new = sentence if sentence and cut - sentence >= 5 else again, cut
+        if stop in breaks and stop - new >= heading:
+            close(stop)
+            begin = new = stop
     close(len(words))
     return out
 
