@@ -99,6 +99,11 @@ def digits_of(span: str) -> str:
     return "".join(c for c in span if "0" <= c <= "9")
 
 
+def octets(span: str) -> bool:
+    """Whether all parts are at most 255; Python reads no number of over 4300 digits, so zeros in front go first."""
+    return all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in span.split("."))
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of EMAIL, each run entered at its start, or where the match before it ended."""
     out, at = [], 0
@@ -116,7 +121,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(0, a, b) for a, b in emails(text)]
     if not DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if octets(m[0])]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             d = m[0].replace(" ", "").replace("-", "")
@@ -168,7 +173,7 @@ def checks(kind: int, span: str) -> int:
     """1 if the inner checks of a kind hold, -1 if not, 0 where it has none."""
     d = digits_of(span)
     if kind == 1:
-        return 1 if ":" in span or all(int(x) <= 255 for x in span.split(".")) else -1
+        return 1 if ":" in span or octets(span) else -1
     if kind == 2:
         return 1 if luhn(d) else -1
     if kind == 3:
@@ -364,7 +369,9 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """doc_id, counts of the base spans for each kind, base_sha256, spans, n_added (spans that the method adds), personal (any span)."""
     found = find_pii(docs, id_col, text)
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["base"] & (s["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    # a function of two parameters would get the place of the span as its second, whatever its default
+    is_base = lambda kind: lambda s: s["base"] & (s["kind"] == kind)
+    counts = [F.size(F.filter("spans", is_base(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), added, (F.size("spans") > 0).alias("personal"))
 

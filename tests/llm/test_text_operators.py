@@ -272,6 +272,18 @@ def test_pii_base_spans(make, awkward, spark, sf):
     assert pii.pii_report(make(rows).limit(0)).collect() == []
 
 
+def test_pii_counts_of_each_kind(make):
+    """Several spans of a kind, kinds in any order, and parts of an address with more zeros than Python reads as a number."""
+    both = ["4111 1111 1111 1111 x", "call +49 30 1234 5678 or +49 30 1234 5679", "a@b.c 1.2.3.4 4111111111111111 +1 234 567 8901", "1.2.3.4 a@b.c 5.6.7.8 d@e.f g@h.i", "0" * 4100 + "9.1.1.1 a@b.c", "", "1" * 50 + ".1.1.1"]
+    got = {r.doc_id: r for r in pii.pii_report(make(both + ["0" * 5000 + "9.1.1.1", "0" * 5000 + "256.1.1.1", None])).collect()}
+    for i, t in enumerate(both):
+        want = Counter(x.split(":")[0] for x in filter(None, brute_pii(t).split(",")))
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [want[k] for k in pii.KINDS[:4]], t[-60:]
+        assert got[i].base_sha256 == hashlib.sha256(brute_pii(t).encode()).hexdigest()
+    assert [tuple(got[i][f"n_{k}"] for k in pii.KINDS[:4]) for i in (7, 8, 9)] == [(0, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert "ip:0:5007" in got[7].spans.split(",")
+
+
 def plain_em(items, rounds, trust):
     """The same estimate with a loop over single items of one kind."""
     q = [min(0.95, max(0.05, 0.5 + 0.1 * sum(v * max(1, t) for v, t in zip(vote, trust)))) for vote in items]
